@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quarry.plans import codec_queries, relational_queries, scalar_queries, search_queries
+from quarry.plans.tables import Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-FLAGSHIP = "manifest_scan"
-
-
-def manifest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A checksum manifest of the parts: CRC-32 of each name, as eight hex digits."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return part.select("p_partkey", F.lower(F.lpad(F.hex(F.crc32(F.encode("p_name", "UTF-8"))), 8, "0")).alias("digest"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"manifest_scan": manifest_scan}
-ORACLES: dict[str, str] = {}
+FLAGSHIP = "manifest_diff"
+_PARTS = (scalar_queries.R, relational_queries.R, search_queries.R, codec_queries.R)
+QUERIES: dict[str, Query] = {name: q for r in _PARTS for name, q in r.queries.items()}
+ORACLES: dict[str, str] = {name: sql for r in _PARTS for name, sql in r.oracles.items()}
