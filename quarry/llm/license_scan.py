@@ -128,7 +128,7 @@ def oracle() -> str:
     u AS (SELECT r, unnest(string_split(x, chr(10))) AS unit FROM d
       UNION ALL SELECT r, p FROM (SELECT r, unnest(regexp_split_to_array(x, '\\n\\s*\\n')) AS p FROM d) WHERE contains(trim(p, ' '), chr(10))),
     w AS (SELECT r, row_number() OVER () AS k, string_split(trim(regexp_replace(unit, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), ' ') AS words FROM u),
-    b AS (SELECT r, k, list_distinct(list_transform(range(1, len(words)), i -> words[i] || ' ' || words[i + 1])) AS own FROM w WHERE len(words) > 1),
+    b AS (SELECT r, k, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS own FROM w WHERE len(words) > 1),
     s AS (SELECT r, k, license, round(2.0 * len(list_intersect(b.own, t.own)) / (len(b.own) + len(t.own)), 6) AS dice FROM b, t
       WHERE list_has_any(b.own, t.own)),
     m AS (SELECT r, k, license, dice, row_number() OVER (PARTITION BY r, k ORDER BY dice DESC, license) AS n FROM s WHERE dice >= {THRESHOLD}),
