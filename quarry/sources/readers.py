@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from quarry.sources.codecs import archive, media
+from quarry.sources.codecs import archive, disc, fields, media
 from quarry.sources.manifests import files
 
 
@@ -82,9 +82,19 @@ def oso_hashes(rows: DataFrame) -> DataFrame:
     return parsed(rows, parse, "size long, hash binary")
 
 
+def header_fields(rows: DataFrame) -> DataFrame:
+    """Every header field of archive volumes, with its place, bytes, value and description."""
+    return parsed(rows, lambda _, data: fields.fields(data), fields.FIELD)
+
+
+def disc_files(rows: DataFrame) -> DataFrame:
+    """(path, name, offset, size) of the media files in disc images."""
+    return parsed(rows, lambda _, data: disc.media_files(data), "name string, offset long, size long")
+
+
 def read(spark: SparkSession, path: str, kind: str, glob: str = "*") -> DataFrame:
-    """Files under a path by kind: blocks, skeletons, containers, media_skeletons, elements or oso_hashes."""
-    return {"blocks": blocks, "skeletons": skeletons, "containers": containers, "media_skeletons": media_skeletons, "elements": elements, "oso_hashes": oso_hashes}[kind](files(spark, path, glob))
+    """Files under a path by kind: blocks, skeletons, containers, media_skeletons, elements, header_fields, disc_files or oso_hashes."""
+    return {"blocks": blocks, "skeletons": skeletons, "containers": containers, "media_skeletons": media_skeletons, "elements": elements, "header_fields": header_fields, "disc_files": disc_files, "oso_hashes": oso_hashes}[kind](files(spark, path, glob))
 
 
 def stored_files(skeleton_rows: DataFrame, content: DataFrame) -> DataFrame:
