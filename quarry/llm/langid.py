@@ -160,7 +160,9 @@ def train(texts: list[str], langs: list[str], seed: int = 11) -> Net | None:
         raw = t.encode("utf-8", "surrogatepass")
         if LETTER.search(t):
             for s in rng.integers(0, max(1, len(raw) - WINDOW + 1), WINDOWS):
-                by[lang].append(np.frombuffer(raw[s : s + WINDOW].ljust(WINDOW, b"\0"), dtype=np.uint8))
+                # A third of the windows is cut short, so that the zeros behind a text's end say nothing.
+                piece = raw[s : s + (WINDOW if rng.random() < 0.67 else int(rng.integers(4, WINDOW)))]
+                by[lang].append(np.frombuffer(piece.ljust(WINDOW, b"\0") + bytes([len(piece)]), dtype=np.uint8))
     by = {lang: np.stack(rows) for lang, rows in by.items() if rows}
     if not by:
         return None
@@ -173,14 +175,15 @@ def train(texts: list[str], langs: list[str], seed: int = 11) -> Net | None:
     target = np.repeat(np.arange(k), each)
     for step in range(1, STEPS + 1):
         rows = np.concatenate([by[n][rng.integers(0, len(by[n]), each)] for n in names])
-        steps = np.ascontiguousarray(rows.T).astype(np.intp)
+        steps = np.ascontiguousarray(rows[:, :WINDOW].T).astype(np.intp)
         kept_f: list = []
         kept_b: list = []
         f, r = run(net.forward, steps, kept_f), run(net.backward, steps[::-1], kept_b)
         back = r[::-1]
         p = softmax(np.matmul(net.out[:, :HIDDEN], f) + np.matmul(net.out[:, HIDDEN:], back) + net.bias)
         p[:, target, np.arange(len(target))] -= 1
-        p /= p.shape[0] * p.shape[2]
+        inside = np.arange(WINDOW)[:, None] < rows[:, WINDOW]
+        p *= inside[:, None, :] / np.float32(inside.sum())
         g_out = np.concatenate([np.einsum("tkn,thn->kh", p, f), np.einsum("tkn,thn->kh", p, back)], axis=1)
         gf = backprop(net.forward, steps, f, kept_f, np.matmul(net.out[:, :HIDDEN].T, p))
         gb = backprop(net.backward, steps[::-1], r, kept_b, np.matmul(net.out[:, HIDDEN:].T, p)[::-1])
