@@ -67,8 +67,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
         else:
             share = F.pow("t", TEMPER)
         sums = cells.groupBy(m).agg(F.sum("tokens").alias("t")).withColumn("share", share)
-        whole = sums.agg(F.sum("share").alias("whole"))
-        aims[m] = cut(sums.crossJoin(F.broadcast(whole)).select(m, (F.col("share") / F.col("whole") * total).alias("aim")))  # one row
+        whole = sums.agg(F.sum("share")).first()[0] or 1.0
+        aims[m] = cut(sums.select(m, (F.col("share") / whole * total).alias("aim")))
     now = cells.withColumn("w", F.col("tokens"))
     for _ in range(rounds):
         for m in MARGINS:
