@@ -90,15 +90,30 @@ def least_matches(threshold: float) -> list[tuple[int, int]]:
 
 
 def prepared(docs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
-    """(id, n_shingles, class, signature, hashes) of each row, written to the shared folder."""
+    """(id, n_shingles, class, signature) of each row, written to the shared folder."""
 
     def run(ids, texts):
         sets = [shingles(t, n) for t in texts]
         key = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else f"empty {i}".encode() for i, s in zip(ids, sets, strict=True)]
-        return [ids, [len(s) for s in sets], key, [signature(s) if len(s) else None for s in sets], [s.tobytes() if len(s) else None for s in sets]]
+        return [ids, [len(s) for s in sets], key, [signature(s) if len(s) else None for s in sets]]
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return cut(map_texts(docs.select(doc_id, text), run, f"id {kind}, n_shingles long, class binary, signature binary, hashes binary"))
+    return cut(map_texts(docs.select(doc_id, text), run, f"id {kind}, n_shingles long, class binary, signature binary"))
+
+
+def full_sets(docs: DataFrame, ids: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
+    """(id, hashes) of the documents in ids (id), from a second read of their texts, written to the shared folder.
+
+    Most documents share no band with another; storing all sets would cost
+    more than the texts do.
+    """
+
+    def run(keys, texts):
+        return [keys, [shingles(t, n).tobytes() for t in texts]]
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(ids.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "text"])
+    return cut(map_texts(texts, run, f"id {kind}, hashes binary"))
 
 
 def survivors(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -193,8 +208,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, over: int = 80, of: int = 100,
     members = cut(placed.join(buckets, "bucket"))
     stars = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     signed = lambda p: p.join(nodes.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a").join(nodes.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b").select("a", "b", "sa", "sb")
-    sets = rows.where("n_shingles > 0").select("id", "class", "hashes").join(classes, ["class", "id"], "left_semi").select("id", "hashes")
-    sets = cut(sets.join(members.select("id").distinct(), "id", "left_semi"))
+    sets = full_sets(docs, members, n, doc_id, text)
     links = cut(verified(survivors(signed(stars), threshold), sets, over, of))
     joined = components(links)
     joined = cut(joined)
