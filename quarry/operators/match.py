@@ -34,11 +34,10 @@ def multiset_match(expected: DataFrame, actual: DataFrame, group: list[str], nam
     return sums.groupBy(*group).agg(F.bool_and(F.col("_n") == 0).alias("matches"))
 
 
-def lookup_fallback(items: DataFrame, known: DataFrame, first: str, second: str, key: str, value: str, order: list[str]) -> DataFrame:
-    """Value of each item by its first key, else by its second; items with neither go, the rest is numbered anew.
+def lookup_fallback(items: DataFrame, known: DataFrame, first: str, second: str, key: str, value: str) -> DataFrame:
+    """Value of each item by its first key, else by its second; items with neither go.
 
-    Numbering is by order over the whole table: a sort, then counts of the
-    partitions before each.
+    Positions that are counted afterwards (diff.positioned) close such gaps.
     """
     by = lambda k, name: known.select(F.col(key).alias(k), F.col(value).alias(name))
     found = items.join(by(first, "_a"), first, "left").join(by(second, "_b"), second, "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import candidates as cand
@@ -134,7 +134,7 @@ def lookup_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = part.select(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("p/"), "p_partkey")).alias("key"), F.col("p_brand").alias("crc")).where(F.col("key").isNotNull())
     known = known.unionByName(supplier.select(F.concat(F.lit("s/"), "s_suppkey").alias("key"), F.col("s_name").alias("crc")))
     items = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.concat(F.lit("p/"), "l_partkey").alias("a"), F.concat(F.lit("s/"), "l_suppkey").alias("b"))
-    return match.lookup_fallback(items, known, "a", "b", "key", "crc", ["l_orderkey"]).drop("a", "b")
+    return match.lookup_fallback(items, known, "a", "b", "key", "crc").drop("a", "b")
 
 
 @R.add("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
@@ -203,20 +203,23 @@ def mode_tie_larger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.mode_larger(table(spark, sf_dir, "lineitem"), ["l_partkey"], "l_quantity")
 
 
-RULES = [
-    ("Error", "no quantity", F.coalesce(F.col("l_quantity") <= 0, F.lit(True))),
-    ("Warning", "deep discount", F.col("l_discount") > 0.08),
-    ("Warning", "odd part", F.col("l_partkey") % 97 == 0),
-    ("Error", "part and supplier equal", F.col("l_partkey") == F.col("l_suppkey")),
-    ("Info", "open line", F.col("l_linestatus") == "O"),
-]
+def rules() -> list[tuple[str, str, Column]]:
+    return [
+        ("Error", "no quantity", F.coalesce(F.col("l_quantity") <= 0, F.lit(True))),
+        ("Warning", "deep discount", F.col("l_discount") > 0.08),
+        ("Warning", "odd part", F.col("l_partkey") % 97 == 0),
+        ("Error", "part and supplier equal", F.col("l_partkey") == F.col("l_suppkey")),
+        ("Info", "open line", F.col("l_linestatus") == "O"),
+    ]
+
+
 ISSUES = """i AS (SELECT l_orderkey, l_linenumber, x.severity, x.rule FROM lineitem, LATERAL (VALUES ('Error', 'no quantity', coalesce(l_quantity <= 0, true)), ('Warning', 'deep discount', l_discount > 0.08),
 ('Warning', 'odd part', l_partkey % 97 = 0), ('Error', 'part and supplier equal', l_partkey = l_suppkey), ('Info', 'open line', l_linestatus = 'O')) AS x(severity, rule, broken) WHERE x.broken)"""
 
 
 @R.add(f"WITH {ISSUES} SELECT * FROM i")
 def verify_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.issues(table(spark, sf_dir, "lineitem"), RULES, ["l_orderkey", "l_linenumber"])
+    return resolve.issues(table(spark, sf_dir, "lineitem"), rules(), ["l_orderkey", "l_linenumber"])
 
 
 @R.add(f"WITH {ISSUES} SELECT l_orderkey, count(*) FILTER (severity = 'Error') AS n_error, count(*) FILTER (severity = 'Warning') AS n_warning, count(*) FILTER (severity = 'Info') AS n_info, count(*) FILTER (severity = 'Error') = 0 AS valid FROM i GROUP BY 1")

@@ -10,9 +10,6 @@ from quarry.plans.tables import Registry, table
 
 R = Registry()
 
-#: Volume names made from part keys, of every style of naming.
-STYLES = ("%s.rar", "%s.r%02d", "%s.s%02d", "%s.part%02d.rar", "%s.%03d", "%s.R%02d", "%s.part%d.rar", "%s.txt", "%s.part%03d.RAR", "%s.z%02d")
-
 
 def _volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(p_partkey, path): a volume path for each part, within the folder of its size."""

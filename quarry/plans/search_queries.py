@@ -16,10 +16,6 @@ def _bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
 
 
-#: A text's bytes as hex pairs with a mark before each, so that a match is on whole bytes.
-HEX = "h AS (SELECT doc_id, strlen(text) AS n, position('then' IN text) AS p, text FROM documents)"
-
-
 @R.add("SELECT doc_id, CASE WHEN position('ing' IN text) > 0 THEN strlen(substr(text, 1, position('ing' IN text) - 1)) ELSE -1 END AS found FROM documents")
 def find_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bytes(spark, sf_dir).select("doc_id", scalars.find_forward(F.col("data"), F.lit(bytearray(b"ing"))).alias("found"))
