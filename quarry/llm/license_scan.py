@@ -51,12 +51,12 @@ def template_bigrams(text: str) -> list[str]:
 
 
 def anchors(bigrams: list[str], threshold: float) -> list[str]:
-    """Words, the longest first, until the bigrams that hold none of them can't reach the threshold."""
+    """Words, the longest first since those are rare, until the bigrams that hold none of them can't reach the threshold."""
     out: list[str] = []
     left = list(bigrams)
     # With k shared bigrams, Dice is 2k / (own + n) <= 2k / (k + n).
     while 2 * len(left) >= threshold * (len(left) + len(bigrams)):
-        word = max({w for b in left for w in b.split()}, key=lambda w: (sum(w in b.split() for b in left), len(w), w))
+        word = max({w for b in left for w in b.split()}, key=lambda w: (len(w), w))
         out.append(word)
         left = [b for b in left if word not in b.split()]
     return out
