@@ -356,7 +356,7 @@ def stored_move(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit.move(stored, stored.where("ord = 0").select("source", "name", F.lit(3).cast("long").alias("by")), ["source"])
 
 
-@R.add("SELECT l_returnflag, l_linestatus, sum(CAST(l_quantity AS BIGINT)) AS sum_qty, count(*) AS n_lines, max(l_partkey) AS max_part FROM lineitem GROUP BY 1, 2")
+@R.add("SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS sum_qty, count(*) AS n_lines, max(l_partkey) AS max_part FROM lineitem GROUP BY 1, 2")
 def block_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums by block type: volume sizes."""
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum(F.col("l_quantity").cast("long")).alias("sum_qty"), F.count("*").alias("n_lines"), F.max("l_partkey").alias("max_part"))

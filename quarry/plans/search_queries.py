@@ -33,7 +33,7 @@ def find_all_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add("""WITH p AS (SELECT doc_id, unnest(string_split(text, 'stan')) AS part, generate_subscripts(string_split(text, 'stan'), 1) AS k, len(string_split(text, 'stan')) AS n FROM documents)
-SELECT doc_id, k AS nth, found FROM (SELECT doc_id, k, n, sum(strlen(part) + 4) OVER (PARTITION BY doc_id ORDER BY k) - 4 AS found FROM p) WHERE k < n""")
+SELECT doc_id, k AS nth, found FROM (SELECT doc_id, k, n, CAST(sum(strlen(part) + 4) OVER (PARTITION BY doc_id ORDER BY k) - 4 AS BIGINT) AS found FROM p) WHERE k < n""")
 def find_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _bytes(spark, sf_dir).select("doc_id", F.posexplode(scalars.find_all(F.col("data"), F.lit(bytearray(b"stan")))).alias("nth", "found"))
     return rows.select("doc_id", (F.col("nth") + 1).cast("long").alias("nth"), "found")
