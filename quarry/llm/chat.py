@@ -45,9 +45,10 @@ def own_text(text: Column) -> Column:
 
 def passages(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, level, hash, size): each quoted passage of each message."""
-    some = messages.where(F.col("text").rlike(r"(?m)^[ \t]*>")).select("conv_id", "turn", F.xxhash64("text").alias("key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    some = messages.where(F.col("text").rlike(r"(?m)^[ \t]*>")).select("conv_id", "turn", "text").distinct()
+    some = some.select("conv_id", "turn", F.xxhash64("text").alias("key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     some = some.withColumn("level", level(F.col("line"))).withColumn("line", F.regexp_replace("line", MARK, ""))
-    own = Window.partitionBy("conv_id", "turn", "key").orderBy("pos", "level", "line")  # the lines of one message
+    own = Window.partitionBy("conv_id", "turn", "key").orderBy("pos")  # the lines of one message
     some = some.withColumn("run", F.sum(F.when(F.lag("level").over(own) == F.col("level"), 0).otherwise(1)).over(own))
     runs = some.where("level > 0").groupBy("conv_id", "turn", "key", "run", "level").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), " ").alias("text"))
     runs = runs.withColumn("text", plain(F.col("text"))).where("text <> ''")

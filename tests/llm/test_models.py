@@ -100,7 +100,7 @@ def test_language_of_odd_rows(odd_docs, no_docs, lang_net):
 
 
 CHAT = [
-    (1, 0, "user", "What is a lamp?\nI ask again."), (1, 1, "assistant", "> What is a lamp?\nA light."), (1, 2, "user", ">> what is  A lamp\n> A light.\nThanks."), (1, 3, "assistant", "Nothing quoted"),
+    (1, 0, "user", "What is a lamp?\nI ask again."), (1, 1, "assistant", "> What is a lamp?\nA light."), (1, 2, "user", ">> what is  A lamp\n> A light.\nThanks."), (1, 3, "assistant", "Nothing quoted"), (1, 2, "user", ">> what is  A lamp\n> A light.\nThanks."),
     (1, 4, "user", "> said by none\nHm."), (2, 0, "user", "A light."), (2, 1, "user", "> What is a lamp?"), (2, 1, "user", "> What is a lamp?"), (3, 0, None, None), (None, 1, "user", "> A light."), (1, None, "user", "x"),
     (4, 0, "user", "> a b\n> c d\nown"), (4, 1, "user", "a b\nc d"), (4, 2, "user", "> a b\n> c d\n\n>> own\nlast"),
 ]
