@@ -11,12 +11,25 @@ round at most.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import cut, discard
 
 
+def local_components(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Smallest index reachable from each of n indices over the pairs (p, q)."""
+    lab = np.arange(n)
+    while True:
+        before = lab.copy()
+        np.minimum.at(lab, p, lab[q])
+        np.minimum.at(lab, q, lab[p])
+        lab = lab[lab]
+        if (lab == before).all():
+            return lab
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): every node of a link, and the smallest node that it reaches.
 

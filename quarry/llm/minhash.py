@@ -10,8 +10,10 @@
    under MISS is dropped.  Survivors are verified on the full sets, and
    verified links are joined to components.
 3. Buckets that then still hold several components are compared pair by pair,
-   in tiles, for members of different components.  Only pairs that survive the
-   posterior leave a tile; they too are verified on the full sets.
+   in tiles, for members of different components; a pair that agrees in several
+   bands counts in the first.  A tile names the members of its survivors; their
+   full sets are then compared in the same tiles, exactly, and a tile emits one
+   link for each member towards its local component, never the pairs.
 
 No link between different components can be lost other than by the bands
 (3e-7 at the threshold of 0.85, 3e-5 at 0.8) or by MISS.  Large groups of near
@@ -35,14 +37,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import cut, map_texts
-from quarry.llm.components import components
+from quarry.llm.components import components, local_components
 
 BANDS, ROWS = 28, 5
 HASHES = BANDS * ROWS
 #: Hashes of one batch of a signature; chance to drop a pair at the threshold.
 STEP, MISS = 20, 1e-6
 #: Members of a tile; shingles hashed at once.
-TILE, PART = 1024, 2048
+TILE, PART = 512, 2048
+#: Shingles whose membership is held as a matrix at once.
+COLUMNS = 8192
 
 _rng = np.random.default_rng(20_011)
 MULTIPLY = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -158,38 +162,79 @@ def verified(pairs: DataFrame, sets: DataFrame, over: int, of: int) -> DataFrame
 
 
 def tiled(open_rows: DataFrame, threshold: float) -> DataFrame:
-    """Surviving pairs of different components within buckets.
+    """Members of pairs of different components that survive within buckets: (bucket, i, j, own, id, comp).
 
-    open_rows: (bucket, m, id, comp, signature), m the bucket's members.  A
-    bucket of many members is cut into blocks by a hash; each pair of blocks
-    is a tile, so that no task holds more than two blocks at once.
+    open_rows: (bucket, band, m, id, comp, signature), m the bucket's members.
+    A bucket of many members is cut into blocks by a hash; each pair of blocks
+    is a tile (i, j), so that no task holds more than two blocks at once.  A
+    pair that agrees in an earlier band is left to that band's bucket.
     """
     need = least_matches(threshold)
     blocks = F.ceil(F.col("m") / TILE).cast("int")
     dealt = open_rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), "blocks").cast("int"))
-    dealt = dealt.select("bucket", "own", "id", "comp", "signature", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "signature")
+    dealt = dealt.select("bucket", "band", "own", "id", "comp", "signature", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("bucket", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "signature")
     kind = open_rows.schema["id"].dataType.simpleString()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        left = rows[rows["own"] == rows["i"].iloc[0]]
-        right = left if rows["i"].iloc[0] == rows["j"].iloc[0] else rows[rows["own"] == rows["j"].iloc[0]]
-        a, b = left["id"].to_numpy(), right["id"].to_numpy()
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": a[:0], "b": a[:0]})
-        x, y = (np.frombuffer(b"".join(t["signature"]), dtype="<u2").reshape(-1, HASHES) for t in (left, right))
-        p, q = np.nonzero(left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :])
-        if right is left:
+        rows = rows.reset_index(drop=True)
+        own, comp = rows["own"].to_numpy(), rows["comp"].to_numpy()
+        i, j, band = rows["i"].iloc[0], rows["j"].iloc[0], int(rows["band"].iloc[0])
+        sign = np.frombuffer(b"".join(rows["signature"]), dtype="<u2").reshape(-1, HASHES)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        p, q = np.nonzero(comp[left][:, None] != comp[right][None, :])
+        p, q = left[p], right[q]
+        if i == j:
             p, q = p[p < q], q[p < q]
+        for b in range(band):
+            met = np.ones(len(p), dtype=bool)
+            for k in range(b * ROWS, (b + 1) * ROWS):
+                met &= sign[p, k] == sign[q, k]
+            p, q = p[~met], q[~met]
         hits, before = np.zeros(len(p), dtype=int), 0
         for n, m in need:
-            for j in range(before, n):
-                hits += x[p, j] == y[q, j]
+            for k in range(before, n):
+                hits += sign[p, k] == sign[q, k]
             keep = hits >= m
             p, q, hits, before = p[keep], q[keep], hits[keep], n
-        return pd.DataFrame({"a": np.minimum(a[p], b[q]), "b": np.maximum(a[p], b[q])})
+        return rows.loc[np.unique(np.concatenate([p, q])), ["bucket", "i", "j", "own", "id", "comp"]]
 
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(run, f"a {kind}, b {kind}")
+    return dealt.groupBy("bucket", "i", "j").applyInPandas(run, f"bucket long, i int, j int, own int, id {kind}, comp {kind}")
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections: a product of membership matrices, over columns of shingles that two sets hold."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = column.ravel()
+    both = count[column] > 1
+    owner, (names, column) = owner[both], np.unique(column[both], return_inverse=True)
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for b in range(0, len(names), COLUMNS):
+        part = slice(*np.searchsorted(column, [b, b + COLUMNS]))
+        member = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        member[owner[part], column[part] - b] = 1
+        out += member @ member.T
+    return out.astype(np.float64)
+
+
+def tiled_links(members: DataFrame, sets: DataFrame, over: int, of: int) -> DataFrame:
+    """Links (a, b) that join the members of each tile as all its exact links do: one for each member at most."""
+    kind = members.schema["id"].dataType.simpleString()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id", ignore_index=True)
+        hashes = [np.frombuffer(v, dtype=np.uint64) for v in rows["hashes"]]
+        size, shared = np.array([len(v) for v in hashes]), shared_counts(hashes)
+        p, q = np.nonzero(of * shared >= over * (size[:, None] + size[None, :] - shared))
+        lab = local_components(len(rows), p, q)
+        ids = rows["id"].to_numpy()
+        some = lab != np.arange(len(ids))
+        return pd.DataFrame({"a": ids[lab[some]], "b": ids[some]})
+
+    return members.join(sets, "id").select("bucket", "i", "j", "id", "hashes").groupBy("bucket", "i", "j").applyInPandas(run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, over: int = 80, of: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -203,7 +248,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, over: int = 80, of: int = 100,
     classes = cut(rows.where("id is not null").groupBy("class").agg(F.min("id").alias("id")))
     nodes = cut(rows.where("n_shingles > 0").select("class", "id", "signature").join(classes, ["class", "id"]).dropDuplicates(["class"]).select("id", "signature"))
     bands = F.array(*(F.xxhash64(F.substring("signature", 1 + 2 * ROWS * b, 2 * ROWS), F.lit(b)) for b in range(BANDS)))
-    placed = nodes.select("id", F.explode(bands).alias("bucket"))
+    placed = nodes.select("id", F.posexplode(bands).alias("band", "bucket"))
     buckets = cut(placed.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("m")).where("lead <> last").select("bucket", "lead", "m"))
     members = cut(placed.join(buckets, "bucket"))
     stars = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
@@ -212,11 +257,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, over: int = 80, of: int = 100,
     links = cut(verified(survivors(signed(stars), threshold), sets, over, of))
     joined = components(links)
     joined = cut(joined)
-    grouped = members.where("m > 2").join(joined.withColumnRenamed("node", "id"), "id", "left").select("bucket", "m", "id", F.coalesce("component", "id").alias("comp"))
+    grouped = members.where("m > 2").join(joined.withColumnRenamed("node", "id"), "id", "left").select("bucket", "band", "m", "id", F.coalesce("component", "id").alias("comp"))
     still = grouped.groupBy("bucket").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d").select("bucket")
     waiting = grouped.join(still, "bucket", "left_semi").join(nodes, "id")
-    pairs = tiled(waiting, threshold).distinct().join(stars, ["a", "b"], "left_anti")
-    more = cut(verified(pairs, sets, over, of))
+    more = cut(tiled_links(cut(tiled(waiting, threshold)), sets, over, of))
     if not more.isEmpty():
         joined = components(links.unionByName(more))
     top = classes.join(joined.withColumnRenamed("node", "id"), "id", "left").select("class", F.coalesce("component", "id").alias("component_id"))

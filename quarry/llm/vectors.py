@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import cut, map_runs
-from quarry.llm.components import components
+from quarry.llm.components import components, local_components
 
 MISS, TILE, SEED = 1e-5, 512, 31_337
 
@@ -73,18 +73,6 @@ def hashed(vectors: DataFrame, bits: int, tables: int, vec_id: str, embedding: s
     return vectors.select(vec_id, embedding, label).mapInArrow(run, f"id {kind}, label string, class binary, codes binary, vector binary")
 
 
-def local_components(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Smallest index reachable from each of n indices over the pairs (p, q)."""
-    lab = np.arange(n)
-    while True:
-        before = lab.copy()
-        np.minimum.at(lab, p, lab[q])
-        np.minimum.at(lab, q, lab[p])
-        lab = lab[lab]
-        if (lab == before).all():
-            return lab
-
-
 def tile(rows: dict, threshold: float) -> tuple | None:
     """Links within one tile: (id, n, to); n counts vectors linked here first, to is in the same local component."""
     i, j, t = int(rows["i"][0]), int(rows["j"][0]), int(rows["t"][0])

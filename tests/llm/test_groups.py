@@ -73,12 +73,26 @@ def test_near_duplicates_are_brute_force(spark, n, over, of):
 
 
 def test_open_buckets_are_compared_in_tiles(spark, monkeypatch):
-    """A bucket's smallest member links with none, two others link with each other."""
+    """A bucket's smallest member links with none, others link with each other; pairs of one component are no work."""
     monkeypatch.setattr(minhash, "TILE", 2)
-    sig = lambda seed: np.random.default_rng(seed).integers(0, 2**16, minhash.HASHES).astype("<u2").tobytes()
-    rows = [(1, 5, i, i, bytearray(sig(i // 2))) for i in range(5)] + [(2, 2, i, 0, bytearray(sig(0))) for i in range(2)]
-    df = spark.createDataFrame(rows, "bucket long, m long, id long, comp long, signature binary")
-    assert sorted(tuple(r) for r in minhash.tiled(df, 0.85).collect()) == [(0, 1), (2, 3)]
+    sign = lambda seed: np.random.default_rng(seed).integers(0, 2**16, minhash.HASHES).astype("<u2").tobytes()
+    rows = [(1, 0, 5, i, i, bytearray(sign(i // 2))) for i in range(5)] + [(2, 0, 2, i, 0, bytearray(sign(0))) for i in range(2)]
+    df = spark.createDataFrame(rows, "bucket long, band int, m long, id long, comp long, signature binary")
+    found = minhash.tiled(df, 0.85)
+    assert {r["id"] for r in found.collect()} == {0, 1, 2, 3}
+    sets = spark.createDataFrame([(i, bytearray((np.arange(20, dtype=np.uint64) + i // 2 * 100).tobytes())) for i in range(5)], "id long, hashes binary")
+    assert {tuple(r) for r in minhash.tiled_links(found, sets, 85, 100).collect()} == {(0, 1), (2, 3)}
+    late = spark.createDataFrame([(*r[:1], 1, *r[2:]) for r in rows], df.schema)
+    assert minhash.tiled(late, 0.85).count() == 0  # equal signatures agree in band 0 already
+
+
+def test_shared_counts(monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 5)
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint64) for _ in range(30)]
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+    got = minhash.shared_counts(sets)
+    assert all(got[i][j] == want[i][j] for i in range(30) for j in range(30) if i != j)
 
 
 def test_posterior_bounds():
