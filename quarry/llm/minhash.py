@@ -16,7 +16,7 @@
    link for each member towards its local component, never the pairs.
 
 No link between different components can be lost other than by the bands
-(3e-7 at the threshold of 0.85, 3e-5 at 0.8) or by MISS.  Large groups of near
+(7e-8 at a similarity of 0.85, 1.5e-5 at 0.8) or by MISS.  Large groups of near
 copies are joined in step 2 with one comparison for each member and band.
 
 Nulls: a null text counts as empty; a set without shingles links with nothing.
