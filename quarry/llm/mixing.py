@@ -7,8 +7,10 @@ then gives the probability with which its documents are sampled.  Sampling
 compares a hash of doc_id with that probability, so it is the same in any run.
 
 Target shares: those given for a margin, else the tempered shares of the
-corpus, tokens ** TEMPER.  Cells that would need more tokens than they have
-are taken whole.
+corpus, tokens ** TEMPER.  sample() meets them: it keeps at most the share
+that the scarcest category and cell allow, so that no probability is clipped.
+weighted() gives the rows of its SQL, which clips: cells that would need more
+tokens than they have are taken whole there, and rare ones miss their targets.
 
 Nulls: a null source, language or topic is a category of its own; a null text
 has topic "empty" and one token, as any text without a space.  A null doc_id
@@ -25,6 +27,8 @@ from quarry.llm.common import cut
 
 MARGINS = ("source", "lang", "topic")
 TEMPER, KEEP, ROUNDS = 0.7, 0.9, 10
+#: Bounded raking goes on, ROUNDS at a time, until no category misses its target by more; targets that contradict the cells end it.
+MISSED, BLOCKS = 0.01, 8
 
 
 def topic(text: str | Column = "text") -> Column:
@@ -51,14 +55,17 @@ def uniform(doc_id: str = "doc_id") -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, keep: float | None = None) -> DataFrame:
     """cells with a column w: tokens raked to the target shares of each margin.
 
     cells: MARGINS and tokens (double).  Each round is written to the shared
-    folder; a margin's sums combine before they shuffle.
+    folder; a margin's sums combine before they shuffle.  With keep, w sums to
+    that share of all tokens, or to what the scarcest category allows, and
+    each round starts from w bounded by the cells' tokens; more rounds follow
+    until the targets are met within MISSED.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0.0
-    aims = {}
+    aims, scale = {}, 1.0 if keep is None else keep
     for m in MARGINS:
         if targets and m in targets:
             share = F.lit(0.0)
@@ -67,38 +74,66 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
         else:
             share = F.pow("t", TEMPER)
         sums = cells.groupBy(m).agg(F.sum("tokens").alias("t")).withColumn("share", share)
-        whole = sums.agg(F.sum("share")).first()[0] or 1.0
+        whole, scarce = sums.agg(F.sum("share"), F.min(F.when(F.col("share") > 0, F.col("t") / F.col("share")))).first()
+        whole = whole or 1.0
+        if keep is not None and scarce is not None:
+            scale = min(scale, scarce * whole / total)
         aims[m] = cut(sums.select(m, (F.col("share") / whole * total).alias("aim")))
     now = cells.withColumn("w", F.col("tokens"))
-    for _ in range(rounds):
-        for m in MARGINS:
-            sums = now.groupBy(m).agg(F.sum("w").alias("s")).join(aims[m], m).select(m, F.when(F.col("s") > 0, F.col("aim") / F.col("s")).otherwise(0.0).alias("f"))
-            now = now.join(sums, m).withColumn("w", F.col("w") * F.col("f")).drop("f")
-        now = cut(now)
+    for _ in range(1 if keep is None else BLOCKS):
+        for _ in range(rounds):
+            if keep is not None:
+                now = now.withColumn("w", F.least("w", "tokens"))
+            for m in MARGINS:
+                sums = now.groupBy(m).agg(F.sum("w").alias("s")).join(aims[m], m).select(m, F.when(F.col("s") > 0, F.col("aim") * scale / F.col("s")).otherwise(0.0).alias("f"))
+                now = now.join(sums, m).withColumn("w", F.col("w") * F.col("f")).drop("f")
+            now = cut(now)
+        if keep is None or all(missed(now, m, aims[m], scale) <= MISSED for m in MARGINS[:-1]):  # the last margin is exact
+            break
     return now
 
 
+def missed(cells: DataFrame, margin: str, aim: DataFrame, scale: float) -> float:
+    """Largest relative distance of a margin's sums of w from scale * aim."""
+    sums = cells.groupBy(margin).agg(F.sum("w").alias("s")).join(aim.where("aim > 0"), margin)
+    return sums.agg(F.max(F.abs(F.col("s") / (F.col("aim") * scale) - 1))).first()[0] or 0.0
+
+
 def celled(docs: DataFrame) -> DataFrame:
     """docs with the cell of each row: _source, _lang, _topic and _tokens."""
     null = F.lit("(null)")
     return docs.withColumns({"_source": F.coalesce("source", null), "_lang": F.coalesce("lang", null), "_topic": topic(), "_tokens": tokens()})
 
 
-def weighted(docs: DataFrame, keep: float = KEEP, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+def calibrated(cells: DataFrame, keep: float = KEEP, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """cells with w and p, the probabilities whose expected tokens stand in the target shares.
+
+    p is w / tokens, lowered for all cells alike until it is 1 at most.
+    """
+    raked = rake(cells, targets, keep=keep)
+    room = raked.where("w > 0").agg(F.min(F.col("tokens") / F.col("w"))).first()[0]
+    return raked.withColumn("p", F.least(F.lit(1.0), min(1.0, room or 1.0) * F.col("w") / F.col("tokens")))
+
+
+def weighted(docs: DataFrame, keep: float = KEEP, targets: dict[str, dict[str, float]] | None = None, clipped: bool = True) -> DataFrame:
     """docs with _source, _lang, _topic, _tokens, the probability _p and _taken.
 
-    keep: share of all tokens to sample, before cells that are taken whole.
+    keep: share of all tokens to sample, before cells that are taken whole;
+    if not clipped, the most to sample (see calibrated()).
     """
     rows = celled(docs)
     cells = cut(rows.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").cast("double").alias("tokens")))
-    raked = rake(cells, targets)
-    p = raked.select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), F.least(F.lit(1.0), keep * F.col("w") / F.col("tokens")).alias("_p"))
+    if clipped:
+        raked = rake(cells, targets).withColumn("p", F.least(F.lit(1.0), keep * F.col("w") / F.col("tokens")))
+    else:
+        raked = calibrated(cells, keep, targets)
+    p = raked.select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), F.col("p").alias("_p"))
     return rows.join(p, ["_source", "_lang", "_topic"]).withColumn("_taken", uniform() < F.col("_p"))
 
 
 def sample(docs: DataFrame, keep: float = KEEP, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """The sampled rows of docs, with their own columns."""
-    return weighted(docs, keep, targets).where("_taken").select(*docs.columns)
+    """The sampled rows of docs, with their own columns: keep of all tokens at most, in the target shares."""
+    return weighted(docs, keep, targets, clipped=False).where("_taken").select(*docs.columns)
 
 
 def oracle() -> str:

@@ -184,6 +184,30 @@ def test_raking(spark):
     assert sum(r["w"] for r in fixed) == pytest.approx(166)
 
 
+def test_samples_meet_their_targets(spark):
+    cells = {("a", "en", "x"): 9000, ("a", "de", "x"): 700, ("a", "de", "y"): 40, ("b", "en", "y"): 300, ("b", "de", "x"): 100, ("c", "en", "x"): 60, ("c", "de", "y"): 5}
+    df = spark.createDataFrame([(*k, float(v)) for k, v in cells.items()], "source string, lang string, topic string, tokens double")
+    targets = {"topic": {"x": 0.9, "y": 0.1}}
+    rows = mixing.calibrated(df, 0.9, targets).collect()
+    kept = sum(r["p"] * r["tokens"] for r in rows)
+    assert all(0 < r["p"] <= 1 for r in rows) and 0.2 * sum(cells.values()) < kept <= 0.9 * sum(cells.values())
+    for m in mixing.MARGINS:
+        own, got = {}, {}
+        for r in rows:
+            own[r[m]] = own.get(r[m], 0) + r["tokens"]
+            got[r[m]] = got.get(r[m], 0) + r["p"] * r["tokens"] / kept
+        share = targets.get(m) or {c: t**mixing.TEMPER / sum(x**mixing.TEMPER for x in own.values()) for c, t in own.items()}
+        assert got == pytest.approx(share, rel=0.015)
+
+
+def test_sampled_rows_meet_their_targets(spark):
+    """A rare topic's share of the sampled rows is its target, not its share of the corpus."""
+    docs = spark.createDataFrame([(i, "one License" if i % 20 == 0 else "two words", "en", "a") for i in range(20_000)], "doc_id long, text string, lang string, source string")
+    n = {r["license"]: r["count"] for r in mixing.sample(docs).groupBy(F.contains("text", F.lit("icense")).alias("license")).count().collect()}
+    want = 1 / (1 + 19**mixing.TEMPER)
+    assert n[True] / (n[True] + n[False]) == pytest.approx(want, rel=0.1)
+
+
 def test_mixing_of_odd_rows(odd_docs, no_docs):
     rows = mixing.weighted(odd_docs)
     assert rows.count() == odd_docs.count()
