@@ -3,8 +3,8 @@
 A line's quote level is the number of ">" it starts with.  Runs of lines of
 one level are passages; a passage is normalised (lower case, letters and
 digits alone) and hashed.  Quoted passages are joined, within a conversation,
-to the first message that says the same in its own words (as a line, a run of
-lines, or its whole own text) in an earlier turn.  A message replies to the
+to the first message that says the same in its own words (as any run of whole
+lines, however they are wrapped) in an earlier turn.  A message replies to the
 message that its outermost quote comes from; of several, the longest quote's,
 then the latest.
 
@@ -15,7 +15,7 @@ without quotes keeps the order of its turns.
 Nulls: a null text counts as empty.  Rows with null conv_id or turn neither
 quote nor are quoted, and are their own roots.  Repeated rows each give a row.
 Other columns are ignored.  Built-in operations alone; a conversation's size
-doesn't matter, since nothing is gathered by conversation.
+doesn't matter, since nothing is gathered by it but the distinct sizes of its passages.
 """
 
 from __future__ import annotations
@@ -57,9 +57,20 @@ def passages(messages: DataFrame) -> DataFrame:
 
 def originals(messages: DataFrame, wanted: DataFrame) -> DataFrame:
     """(conv_id, hash, original): the first turn that says a wanted passage in its own words."""
-    said = messages.join(wanted.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", own_text(F.col("text")).alias("own"))
-    units = F.concat(F.array("own"), F.split("own", "\n"), F.split("own", "\n\\s*\n"))
-    units = F.array_distinct(F.transform(units, lambda u: F.xxhash64(plain(u))))
+    sizes = wanted.groupBy("conv_id").agg(F.collect_set("size").alias("sizes"))
+    said = messages.join(sizes, "conv_id").select("conv_id", "turn", own_text(F.col("text")).alias("own"), "sizes")
+    lines = F.filter(F.transform(F.split("own", "\n"), plain), lambda x: x != "")
+    said = said.withColumn("lines", lines).withColumn("said", F.array_join("lines", " "))
+    # Where each line ends in said, by its length and one space for each line before.
+    ends = F.aggregate("lines", F.array().cast("array<int>"), lambda ends, x: F.concat(ends, F.array(F.coalesce(F.try_element_at(ends, F.lit(-1)) + 1, F.lit(0)) + F.length(x))))
+    said = said.withColumn("ends", ends).withColumn("starts", F.concat(F.array(F.lit(0)), F.transform("ends", lambda e: e + 1)))
+
+    def runs(start: Column) -> Column:
+        """Hashes of the runs of whole lines from start whose size is wanted."""
+        stops = F.array_intersect(F.transform("sizes", lambda n: start + n), F.col("ends"))
+        return F.transform(stops, lambda e: F.xxhash64(F.substring("said", start + 1, e - start)))
+
+    units = F.array_distinct(F.flatten(F.transform("starts", runs)))
     return said.select("conv_id", "turn", F.explode(units).alias("hash")).groupBy("conv_id", "hash").agg(F.min("turn").alias("original"))
 
 

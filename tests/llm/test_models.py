@@ -141,6 +141,51 @@ def test_chat_links(spark):
     assert chat.formatted(chat.link(df)).where("turn = 3").first()["chat"] == "<|assistant|>\nNothing quoted\n<|end|>\n"
 
 
+def all_run_links(rows):
+    """What each message replies to, by every run of whole lines of all earlier messages."""
+    import re
+
+    norm = lambda t: re.sub(r"[^\w]+", " ", t.lower()).strip()
+    mark = re.compile(r"^([ \t]*>)+")
+    level = lambda x: m[0].count(">") if (m := mark.match(x)) else 0
+    out = {}
+    for conv, turn, _, text in rows:
+        hits = []
+        for lev, run in itertools.groupby(text.split("\n"), key=level):
+            passage = norm(" ".join(mark.sub("", x) for x in run))
+            for c, t, _, x in rows:
+                own = [y for y in x.split("\n") if not level(y)]
+                if lev and passage and c == conv and t < turn and any(norm(" ".join(own[i:j])) == passage for i, j in itertools.combinations(range(len(own) + 1), 2)):
+                    hits.append((lev, -len(passage), t))
+        best = min((h[:2] for h in hits), default=None)
+        firsts = {}
+        for lev, size, t in hits:
+            firsts.setdefault((lev, size), t)
+        out[conv, turn] = firsts.get(best)
+    return out
+
+
+def test_runs_of_quoted_lines_link(spark):
+    three = "First line here.\nSecond, line!\nthird line"
+    rows = [(1, 0, "user", three), (1, 1, "user", "> First line here.\n> Second, line!\nyes"), (1, 2, "user", "> second line\n> third\n> line\nno"), (1, 3, "user", "> first line here second\nhalf a line"), (1, 4, "user", "> line here\nhalf"), (2, 0, "user", "para one\nstill one\n\npara two\n\npara é three"), (2, 1, "user", "> para one\n> still one\n>\n> para two\nfine"), (2, 2, "user", "> para two\n>\n> para é three\n\n>> First line here.\nok"), (3, 0, "user", "x"), (3, 1, "user", "> Second, line!\n> third line")]
+    rng = np.random.default_rng(0)
+    for conv in range(10, 30):
+        said = []
+        for turn in range(6):
+            own = ["ab"[x % 2] + " c" * (x // 2) for x in rng.integers(0, 6, rng.integers(1, 6))]
+            quote = []
+            if said:
+                of = said[rng.integers(len(said))]
+                i = int(rng.integers(len(of)))
+                quote = ["> " + x for x in of[i : i + int(rng.integers(1, 4))]]
+            said.append(own)
+            rows.append((conv, turn, "user", "\n".join(quote + own)))
+    want = all_run_links(rows)
+    got = {(r["conv_id"], r["turn"]): r["reply_to"] for r in chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == want
+    assert [want[k] for k in ((1, 1), (1, 2), (1, 3), (1, 4), (2, 1), (2, 2), (3, 1))] == [0, 0, None, None, 0, 0, None]
+
+
 def test_long_reply_chain(spark):
     rows = [(1, 0, "user", "line 0")] + [(1, i, "user", f"> line {i - 1}\nline {i}") for i in range(1, 40)]
     out = {r["turn"]: r for r in chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
