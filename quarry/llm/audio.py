@@ -2,7 +2,8 @@
 
 A text's UTF-8 bytes, padded with zeros to a positive multiple of 64, are the
 unsigned samples of a mono WAV file.  The samples read back from that file are
-resampled by a polyphase filter, framed with overlap, turned into log-mel
+resampled by a polyphase filter, framed with overlap (zeros fill the last
+frame), turned into log-mel
 bands, and segmented by an energy threshold with hysteresis.  The bands are
 stored as fixed-shape Arrow tensors of BLOCK frames, each with its time span.
 
@@ -119,8 +120,8 @@ def segments(energy: np.ndarray) -> list[tuple[int, int]]:
 def features(samples: bytes) -> Features:
     x = (np.frombuffer(samples, dtype=np.uint8).astype(np.float32) - 128) / 128
     y = resample(x)
-    if len(y) < FRAME:
-        y = np.concatenate([y, np.zeros(FRAME - len(y), dtype=y.dtype)])
+    # Zeros fill the last frame, so that every sample is in one.
+    y = np.concatenate([y, np.zeros(FRAME - len(y) if len(y) < FRAME else -(len(y) - FRAME) % HOP, dtype=y.dtype)])
     frames = sliding_window_view(y, FRAME)[::HOP]
     mel, energy = np.empty((len(frames), BANDS), dtype=np.float32), np.empty(len(frames))
     hann, filters = np.hanning(FRAME), mel_filters()

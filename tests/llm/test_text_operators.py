@@ -111,6 +111,14 @@ def test_segments_have_hysteresis():
     assert audio.segments(np.zeros(5)) == []
 
 
+@pytest.mark.parametrize("n", [64, 448, 512, 576, 640, 704, 6400])
+def test_last_samples_are_in_a_frame(n):
+    a, b = bytes([128]) * n, bytes([128]) * (n - 32) + bytes([255]) * 32
+    x, y = audio.features(a), audio.features(b)
+    assert x.mel.shape == y.mel.shape and len(x.mel) == max(0, -(-(n // 2 - audio.FRAME) // audio.HOP)) + 1
+    assert not np.array_equal(x.mel[-1], y.mel[-1])
+
+
 def test_tensors():
     mel = np.random.default_rng(0).normal(size=(70, audio.BANDS)).astype(np.float32)
     back = audio.untensor(audio.tensors(mel))
