@@ -27,7 +27,7 @@ from quarry.llm.common import cut
 
 MARGINS = ("source", "lang", "topic")
 TEMPER, KEEP, ROUNDS = 0.7, 0.9, 10
-#: Bounded raking goes on, ROUNDS at a time, until no category misses its target by more; targets that contradict the cells end it.
+#: Bounded raking goes on, ROUNDS at a time, until no category misses its target by more, or the largest miss no longer halves (targets that contradict the cells).
 MISSED, BLOCKS = 0.01, 8
 
 
@@ -62,7 +62,7 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
     folder; a margin's sums combine before they shuffle.  With keep, w sums to
     that share of all tokens, or to what the scarcest category allows, and
     each round starts from w bounded by the cells' tokens; more rounds follow
-    until the targets are met within MISSED.
+    until the targets are met within MISSED, where the cells allow them.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0.0
     aims, scale = {}, 1.0 if keep is None else keep
@@ -80,7 +80,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
             scale = min(scale, scarce * whole / total)
         aims[m] = cut(sums.select(m, (F.col("share") / whole * total).alias("aim")))
     now = cells.withColumn("w", F.col("tokens"))
-    for _ in range(1 if keep is None else BLOCKS):
+    miss = float("inf")
+    for _ in range(BLOCKS):
         for _ in range(rounds):
             if keep is not None:
                 now = now.withColumn("w", F.least("w", "tokens"))
@@ -88,7 +89,10 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
                 sums = now.groupBy(m).agg(F.sum("w").alias("s")).join(aims[m], m).select(m, F.when(F.col("s") > 0, F.col("aim") * scale / F.col("s")).otherwise(0.0).alias("f"))
                 now = now.join(sums, m).withColumn("w", F.col("w") * F.col("f")).drop("f")
             now = cut(now)
-        if keep is None or all(missed(now, m, aims[m], scale) <= MISSED for m in MARGINS[:-1]):  # the last margin is exact
+        if keep is None:
+            break
+        before, miss = miss, max(missed(now, m, aims[m], scale) for m in MARGINS[:-1])  # the last margin is exact
+        if miss <= MISSED or miss > before / 2:
             break
     return now
 
