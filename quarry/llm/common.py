@@ -65,13 +65,19 @@ _serial = itertools.count()
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the one in spark.checkpoint.dir.
 
-    Where it is unset (tests, one machine) a local folder is set.
+    Where it is unset on one machine (tests), a local folder is set; on a
+    cluster that is an error, since executors don't see each other's disks.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if given is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            import tempfile
+
+            given = tempfile.mkdtemp(prefix="quarry-checkpoint-")
+        context.setCheckpointDir(given)
     return context.getCheckpointDir()
 
 

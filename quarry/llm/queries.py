@@ -21,7 +21,7 @@ def op2_vector_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.weighted(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.round("_p", 6).alias("p"), F.col("_taken").alias("taken"))
+    return rows.select("row.doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.round("_p", 6).alias("p"), F.col("_taken").alias("taken"))
 
 
 def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:

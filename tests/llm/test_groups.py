@@ -214,3 +214,35 @@ def test_mixing_of_odd_rows(odd_docs, no_docs):
     assert rows.where("_p is null or _p < 0 or _p > 1").count() == 0
     assert mixing.sample(odd_docs).columns == odd_docs.columns
     assert mixing.sample(no_docs).count() == 0
+
+
+def test_cells_beyond_the_bound_give_the_same_weights(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    cells = [(f"s{a}", f"l{b}", f"t{c}", float(rng.integers(1, 900))) for a in range(6) for b in range(3) for c in range(3) if rng.random() < 0.8]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens double")
+    held = {r[:3]: r["w"] for r in mixing.rake(df, keep=0.9).select("source", "lang", "topic", "w").collect()}
+    monkeypatch.setattr(mixing, "CELLS", 0)
+    for keep, want in ((0.9, held), (None, None)):
+        got = {r[:3]: r["w"] for r in mixing.rake(df, keep=keep).select("source", "lang", "topic", "w").collect()}
+        assert got == pytest.approx(want or plain_rake({c[:3]: c[3] for c in cells}, mixing.ROUNDS))
+
+
+def test_categories_without_a_target_keep_their_share(spark):
+    docs = spark.createDataFrame([(i, "two words", "en", "ab"[i % 10 == 0]) for i in range(1000)] + [(1000 + i, "two words", "en", None) for i in range(100)], "doc_id long, text string, lang string, source string")
+    rows = {(r["margin"], r["category"]): r for r in mixing.report(docs, 0.9, {"source": {"a": 0.5, "b": 0.5}}).collect()}
+    assert rows["source", "(null)"]["reached"] == pytest.approx(100 / 1100) and rows["source", "a"]["target"] == pytest.approx(500 / 1100)
+    assert all(r["shortfall"] < 0.001 and r["reached"] == pytest.approx(r["target"], rel=0.01) for r in rows.values() if r["margin"] == "source")
+
+
+def test_contradicting_targets_are_reported(spark):
+    """No documents of source b in language x: the targets can't be met together, and the report says so."""
+    docs = spark.createDataFrame([(i, "two words", "y" if i % 2 else "x", "a" if i % 2 == 0 else "ab"[i % 4 == 1]) for i in range(400)], "doc_id long, text string, lang string, source string")
+    rows = mixing.report(docs, 0.9, {"source": {"a": 0.1, "b": 0.9}, "lang": {"x": 0.9, "y": 0.1}}).collect()
+    assert max(r["shortfall"] for r in rows) > 0.1
+
+
+def test_mixing_keeps_clashing_columns(odd_docs):
+    own = ("_p", "_gone", "_tokens", "_source", "_lang", "_topic", "_taken", "row", "p")
+    docs = odd_docs.select("*", *(F.lit("own").alias(c) for c in own if c not in odd_docs.columns))
+    kept = mixing.sample(docs)
+    assert kept.columns == docs.columns and all(r["_p"] == r["row"] == r["_taken"] == "own" for r in kept.collect())
