@@ -1,22 +1,32 @@
 """Personal data by weak supervision.
 
 Base spans (email, ip, card, phone) come from fixed patterns with checks and
-always stay.  Further kinds start as candidates, on which labelers vote for,
-against or not at all: a strict pattern, a gazetteer, and the context before
-the candidate.  Expectation-maximisation over the counts of all vote patterns
-estimates each labeler's reliability for each kind; the posteriors then train
-a logistic span classifier on discrete features of the candidates, which
-decides every candidate.
+always stay.  Further kinds start as candidates, on which three labelers vote
+for, against or not at all.  Each reads something else: the pattern labeler the
+form of the span (character mix, check digits, numbering rules), the gazetteer
+labeler what lists know of its value (key prefixes, published numbers, country
+codes, names, domains), the context labeler the CONTEXT characters around it.
+Expectation-maximisation over the counts of all vote patterns, with and without
+support, estimates each labeler's reliability for each kind; the posteriors
+then train a logistic span classifier on votes and discrete features of the
+candidates, which decides every candidate.
+
+Reliability is how often a vote is right for true and for false candidates,
+where there is one; abstaining says nothing.  Bounds keep a labeler at least as
+good as chance, and a kind's share of true candidates at half at most, so that
+candidates on which all abstain or votes are even are no personal data.
 
 Votes and features together have finitely many values (PATTERNS at most), so
 their counts over all documents are a small table whatever the input.
 
 Nulls: a null text counts as empty.  Null doc_id stay, repeated rows each give
 a row, other columns are ignored.  Offsets are code points, ends exclusive.
+Time is linear in a text, but for a search in its sorted base spans.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -31,18 +41,30 @@ BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "national_id", "iban", "phone_local", "name", "email_words")
 KINDS = BASE + ADDED
 
-#: Gazetteers and context words of the labelers.
+#: What the gazetteer labeler knows.
 FIRST_NAMES = frozenset("""
 james mary robert patricia john jennifer michael linda david elizabeth william barbara richard susan joseph jessica
 thomas sarah charles karen hans peter wolfgang ursula klaus monika stefan sabine andreas petra pierre marie jean
 nathalie michel isabelle philippe sylvie carlos maria jose carmen antonio ana manuel isabel francisco dolores
 """.split())
-SECRET_WORDS = frozenset("token secret password passwd apikey api_key key credential bearer auth".split())
-COUNTRIES = frozenset("AT BE CH DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split())
-ID_WORDS = frozenset("ssn social security passport identity tax".split())
-PHONE_WORDS = frozenset("tel phone call mobile fax telefon telephone telefono".split())
-TITLES = frozenset("mr mrs ms dr prof herr frau monsieur madame senor senora".split())
-MAIL_WORDS = frozenset("mail email e-mail contact write kontakt contacto".split())
+KEY_PREFIXES = ("sk_live_", "sk_test_", "rk_live_", "pk_live_", "ghp_", "gho_", "ghs_", "github_pat_", "AKIA", "ASIA", "AIza", "npm_", "eyJ")
+PLACEHOLDERS = re.compile(r"(?i)example|placeholder|dummy|sample|x{6}|0123456789|abcdefgh|(.)\1{9}")
+PUBLISHED_IDS = frozenset(("078-05-1120", "219-09-9999", "123-45-6789", "111-11-1111"))
+COUNTRIES = frozenset("AD AE AL AT AZ BA BE BG BH BR CH CR CY CZ DE DK DO EE ES FI FR GB GE GI GR GT HR HU IE IL IS IT JO KW KZ LB LI LT LU LV MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SE SI SK SM TN TR UA VG XK".split())
+AREAS = frozenset("800 833 844 855 866 877 888 900".split())
+DOMAINS = frozenset("com org net edu gov io de fr es it uk eu info".split())
+
+#: Words around a candidate that speak for a kind, and against it.
+CONTEXTS = {
+    "secret": (frozenset("token secret password passwd pwd apikey api_key key credential credentials bearer auth authorization".split()), frozenset("commit commits sha sha1 sha256 md5 checksum digest hash hashes revision rev blob tree uuid guid etag".split())),
+    "national_id": (frozenset("ssn social security passport identity tax taxpayer".split()), frozenset("part order invoice model sku serial ticket".split())),
+    "iban": (frozenset("iban bic account konto bank cuenta compte".split()), frozenset("serial model order part licence license plate".split())),
+    "phone_local": (frozenset("tel phone call mobile cell fax telefon telephone telefono".split()), frozenset("order invoice version serial part account ticket".split())),
+    "name": (frozenset("mr mrs ms dr prof herr frau monsieur madame senor senora sincerely regards dear name".split()), frozenset("street city lake mount river university company the".split())),
+    "email_words": (frozenset("mail email e-mail contact write kontakt contacto reach".split()), frozenset("look looked arrive arrived meet stood".split())),
+}
+#: Words that begin sentences, in the four languages of the corpus.
+OPENERS = frozenset("the a an in on at of and but this that when if it he she they we der die das und ein eine im am le la les un une et el los las y en de von zu que".split())
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -50,19 +72,22 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
 
+_AT, _DOT = (rf"(?: ?[\[(]{w}[\])] ?| {w} )" for w in ("(?:at|AT)", "(?:dot|DOT)"))
 CANDIDATES = {
-    "secret": re.compile(r"(?<![0-9A-Za-z])(?=[A-Za-z]{0,64}[0-9])[0-9A-Za-z_]{24,128}+(?![0-9A-Za-z_])"),
+    "secret": re.compile(r"(?<![0-9A-Za-z_])[0-9A-Za-z_]{24,}+"),
     "national_id": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "iban": re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])"),
     "phone_local": re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])"),
-    "name": re.compile(r"(?<![\w.])[A-Z][a-z]{1,15}\.? [A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20})?(?!\w)"),
-    "email_words": re.compile(r"(?<![\w.])[A-Za-z0-9._-]{1,40} ?[\[(]?(?:at|AT)[\])]? ?[A-Za-z0-9-]{1,40} ?[\[(]?(?:dot|DOT)[\])]? ?[A-Za-z]{2,10}(?!\w)"),
+    "name": re.compile(r"(?<![\w.])[A-ZÀ-ÖØ-Þ](?:\.|[a-zà-öø-ÿ]++)(?: [A-Z]\.)? [A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]++(?: [A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]++)?(?!\w)"),
+    "email_words": re.compile(rf"(?<![\w.-])[A-Za-z0-9._-]++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)+(?!\w)"),
 }
 #: A text without this has no candidate of the kind.
-NEEDS = {"secret": re.compile(r"[0-9]"), "national_id": re.compile(r"[0-9]-[0-9]"), "iban": re.compile(r"[A-Z]{2}[0-9]{2}"), "phone_local": re.compile(r"[0-9][ .-][0-9]{4}"), "email_words": re.compile(r"(?i:dot)")}
+NEEDS = {"secret": re.compile(r"[0-9A-Za-z_]{24}"), "national_id": re.compile(r"[0-9]-[0-9]"), "iban": re.compile(r"[A-Z]{2}[0-9]{2}"), "phone_local": re.compile(r"[0-9][ .-][0-9]{4}"), "email_words": re.compile(r"dot|DOT")}
 CONTEXT = 32
 LABELERS, FEATURES = 3, 6
 PATTERNS = len(ADDED) * 3**LABELERS * 2**FEATURES
+#: Votes of a labeler, right and wrong, before any is seen; bounds of how often it is right, and of the share of true candidates.
+PRIOR, RIGHT, SHARE = (6.0, 1.0), (0.5, 0.99), (0.01, 0.5)
 
 
 def luhn(digits: str) -> bool:
@@ -102,29 +127,72 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def words_before(text: str, start: int) -> set[str]:
-    return set(re.findall(r"[a-z_-]+", text[max(0, start - CONTEXT) : start].lower()))
+def words_around(text: str, start: int, end: int) -> list[str]:
+    """Words of the CONTEXT characters on either side, the nearest one before the span first."""
+    before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
+    return WORD.findall(before.lower())[::-1] + WORD.findall(after.lower())
+
+
+WORD = re.compile(r"[a-z0-9_-]+")
+HEX = re.compile(r"[0-9a-f]+")
 
 
-def votes(kind: str, span: str, before: set[str]) -> tuple[int, int, int]:
-    """Strict pattern, gazetteer and context: 1 for, -1 against, 0 no vote."""
+def form(kind: str, span: str) -> int:
+    """Vote on the span's form alone: 1 for, -1 against, 0 none."""
     if kind == "secret":
-        mixed = bool(re.fullmatch(r"[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|(?=.*[A-Z])(?=.*[a-z])(?=.*[0-9])[0-9A-Za-z]{32,}", span))
-        return (1 if mixed else -1, 1 if before & SECRET_WORDS else 0, 1 if before & {"token", "secret", "password"} else -1)
+        numbers = sum(c.isdigit() for c in span)
+        if not numbers or (span.islower() and "_" in span and numbers < 4):
+            return -1  # a long word, or an identifier of words
+        if HEX.fullmatch(span):
+            return 0  # a digest looks the same
+        return 1 if numbers >= 4 or (not span.islower() and not span.isupper()) else 0
     if kind == "national_id":
         a, b, c = span.split("-")
-        return (1 if a not in ("000", "666") and a < "900" and b != "00" and c != "0000" else -1, 1 if before & ID_WORDS else 0, 1 if before & {"ssn", "security"} else 0)
+        return 1 if a not in ("000", "666") and a < "900" and b != "00" and c != "0000" else -1
     if kind == "iban":
         flat = span.replace(" ", "")
-        good = int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
-        return (1 if good else -1, 1 if flat[:2] in COUNTRIES else -1, 1 if "iban" in before else 0)
+        return 1 if int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1 else -1
     if kind == "phone_local":
-        return (1 if re.fullmatch(r"\(?[2-9][0-9]{2}\)?([ .-])[0-9]{3}\1[0-9]{4}", span) else 0, 1 if before & PHONE_WORDS else 0, 1 if before & {"tel", "phone", "call"} else -1)
+        return 1 if re.fullmatch(r"(?:\([2-9][0-9]{2}\) |[2-9][0-9]{2}([ .-]))[2-9][0-9]{2}(?(1)\1|[ .-])[0-9]{4}", span) else -1
     if kind == "name":
-        parts = [p.strip(".").lower() for p in span.split()]
-        named = any(p in FIRST_NAMES for p in parts[:2])
-        return (1 if named and len(parts) >= 2 else -1, 1 if named else -1, 1 if parts[0] in TITLES or before & TITLES else 0)
-    return (1 if re.search(r"[\[(](?:at|AT)", span) else 0, 1 if before & MAIL_WORDS else 0, 1 if before & {"mail", "email"} else -1)
+        parts = span.split()
+        if parts[0].lower() in OPENERS or any(len(p.strip(".")) > 14 for p in parts):
+            return -1
+        return 1 if any(len(p.strip(".")) == 1 for p in parts) else 0
+    return 1 if "[" in span or "(" in span else 0
+
+
+def listed(kind: str, span: str) -> int:
+    """Vote by what lists know of the span's value."""
+    if kind == "secret":
+        return 1 if span.startswith(KEY_PREFIXES) else -1 if PLACEHOLDERS.search(span) else 0
+    if kind == "national_id":
+        return -1 if span in PUBLISHED_IDS else 0
+    if kind == "iban":
+        return 1 if span[:2] in COUNTRIES else -1
+    if kind == "phone_local":
+        area = span.strip("(")[:3]
+        return -1 if area[1:] == "11" or area < "200" else 1 if area in AREAS else 0
+    if kind == "name":
+        return 1 if span.split()[0].lower() in FIRST_NAMES else -1
+    return 1 if WORD.findall(span.lower())[-1] in DOMAINS else -1
+
+
+def context(kind: str, text: str, start: int, end: int) -> int:
+    """Vote by the words around: of those that speak for or against, the nearest one decides."""
+    yes, no = CONTEXTS[kind]
+    for w in words_around(text, start, end):
+        if w in yes or w in no:
+            return 1 if w in yes else -1
+    if kind == "name" and (not (gap := text[max(0, start - 3) : start].rstrip()) or gap[-1] in ".!?|:"):
+        return -1  # any sentence begins with a capital
+    return 0
+
+
+def votes(kind: str, text: str, start: int, end: int) -> tuple[int, int, int]:
+    """Form, list and context: 1 for, -1 against, 0 no vote."""
+    span = text[start:end]
+    return form(kind, span), listed(kind, span), context(kind, text, start, end)
 
 
 def shape(span: str, text: str, a: int, b: int) -> tuple[bool, ...]:
@@ -155,16 +223,20 @@ def decode(value: int) -> tuple[int, list[int], list[int]]:
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, int]]:
     """Candidates that cross no base span: kind, start, end and the code of votes and features."""
     out = []
+    starts, ends = [], []  # base spans joined where they cross, in order
+    for _, s, e in sorted(base, key=lambda x: x[1:]):
+        if ends and s < ends[-1]:
+            ends[-1] = max(e, ends[-1])
+        else:
+            starts.append(s), ends.append(e)
     for k, kind in enumerate(ADDED):
         if kind in NEEDS and not NEEDS[kind].search(text):
             continue
         for m in CANDIDATES[kind].finditer(text):
             a, b = m.span()
-            if any(a < e and s < b for _, s, e in base):
-                continue
-            vote = votes(kind, m[0], words_before(text, a))
-            if max(vote) > 0:  # a candidate that no labeler supports has no chance
-                out.append((kind, a, b, code(k, vote, shape(m[0], text, a, b))))
+            before = bisect.bisect_left(starts, b) - 1
+            if before < 0 or ends[before] <= a:
+                out.append((kind, a, b, code(k, votes(kind, text, a, b), shape(m[0], text, a, b))))
     return out
 
 
@@ -189,25 +261,34 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 def reliabilities(kinds: np.ndarray, vote: np.ndarray, count: np.ndarray, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of each pattern, and P(vote | truth) by kind, labeler, truth and vote, by EM.
 
-    Votes are independent given the truth; Dirichlet counts of a fairly good
-    labeler keep rare kinds from degenerate answers.
+    Votes are independent given the truth, and abstaining doesn't depend on it.
+    PRIOR counts of right and wrong votes stand for a fairly good labeler.
     """
-    prior = np.array([[3.0, 2.0, 1.0], [1.0, 2.0, 3.0]])  # truth no, yes; votes -1, 0, 1
-    table = np.broadcast_to(prior / prior.sum(1, keepdims=True), (len(ADDED), LABELERS, 2, 3)).copy()
-    share = np.full(len(ADDED), 0.5)
+    right = np.full((len(ADDED), LABELERS, 2), PRIOR[0] / sum(PRIOR))  # by truth: P(the vote is right | there is one)
+    abstain = np.full((len(ADDED), LABELERS), 0.5)
+    share = np.full(len(ADDED), SHARE[1])
     post = np.full(len(kinds), 0.5)
     for _ in range(steps):
-        logs = np.log(np.stack([1 - share, share], axis=1))[kinds]
+        odds = np.log(share / (1 - share))[kinds]
         for j in range(LABELERS):
-            logs += np.log(table[kinds, j, :, vote[:, j] + 1])
-        post = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -50, 50)))
+            yes, no = right[kinds, j, 1], right[kinds, j, 0]
+            odds = odds + np.where(vote[:, j] == 1, np.log(yes / (1 - no)), np.where(vote[:, j] == -1, np.log((1 - yes) / no), 0.0))
+        post = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
         for k in range(len(ADDED)):
             own = kinds == k
-            yes, no = post[own] * count[own], (1 - post[own]) * count[own]
-            share[k] = (yes.sum() + 2) / (yes.sum() + no.sum() + 4)
+            weight = np.stack([(1 - post[own]) * count[own], post[own] * count[own]])
+            share[k] = np.clip((weight[1].sum() + 2) / (weight.sum() + 4), *SHARE)
             for j in range(LABELERS):
-                sums = np.stack([np.bincount(vote[own, j] + 1, w, 3) for w in (no, yes)]) + prior * 2
-                table[k, j] = sums / sums.sum(1, keepdims=True)
+                v = vote[own, j]
+                abstain[k, j] = (weight.sum(0)[v == 0].sum() + 1) / (weight.sum() + 2)
+                for truth, sign in ((0, -1), (1, 1)):
+                    hit, miss = weight[truth][v == sign].sum(), weight[truth][v == -sign].sum()
+                    right[k, j, truth] = np.clip((hit + PRIOR[0]) / (hit + miss + sum(PRIOR)), *RIGHT)
+    table = np.empty((len(ADDED), LABELERS, 2, 3))
+    table[..., 1] = abstain[..., None]
+    for truth, sign in ((0, -1), (1, 1)):
+        table[:, :, truth, 1 + sign] = (1 - abstain) * right[:, :, truth]
+        table[:, :, truth, 1 - sign] = (1 - abstain) * (1 - right[:, :, truth])
     return post, table
 
 
@@ -216,10 +297,10 @@ def inputs(kinds: np.ndarray, vote: np.ndarray, feature: np.ndarray) -> np.ndarr
     return np.concatenate([np.eye(len(ADDED))[kinds], (vote == 1), (vote == -1), feature], axis=1).astype(float)
 
 
-def train(x: np.ndarray, target: np.ndarray, count: np.ndarray, steps: int = 300) -> np.ndarray:
+def train(x: np.ndarray, target: np.ndarray, count: np.ndarray, steps: int = 60) -> np.ndarray:
     """Logistic regression on soft targets, by damped Newton steps with a small ridge."""
     w, weight = np.zeros(x.shape[1]), count / count.sum()
-    for _ in range(min(steps, 60)):
+    for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (weight * (p - target)) + 1e-3 * w
         hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w))
@@ -242,7 +323,7 @@ def fit(scanned: DataFrame) -> list[int]:
     post, _ = reliabilities(kinds, vote, count)
     x = inputs(kinds, vote, feature)
     p = 1 / (1 + np.exp(-np.clip(x @ train(x, post, count), -30, 30)))
-    return [c for (c, _), v in zip(rows, p, strict=True) if v >= 0.5]
+    return [c for (c, _), v in zip(rows, p, strict=True) if v > 0.5]
 
 
 def accepted(codes: list[int]) -> Column:
@@ -252,11 +333,20 @@ def accepted(codes: list[int]) -> Column:
 
 
 def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans): base spans and accepted ones as kind:start:end."""
+    """Base spans and accepted ones of each row, as kind:start:end in spans, with counts by kind.
+
+    (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans), then
+    n_<kind> for each added kind.
+    """
     scanned = cut(scan(docs, doc_id, text))
-    more = F.transform(accepted(fit(scanned)), lambda c: F.concat_ws(":", c["kind"], c["start"], c["end"]))
+    rows = scanned.withColumn("found", accepted(fit(scanned)))
+    more = F.transform("found", lambda c: F.concat_ws(":", c["kind"], c["start"], c["end"]))
     spans = F.array_join(F.filter(F.concat(F.array("base"), more), lambda s: s != ""), ",")
-    return scanned.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"))
+    base = ("n_email", "n_ip", "n_card", "n_phone")
+    total = sum((F.col(n) for n in base), F.size("found").cast("long"))
+    count = lambda kind: F.size(F.filter("found", lambda c: c["kind"] == kind)).cast("long")
+    counts = [count(kind).alias(f"n_{kind}") for kind in ADDED]
+    return rows.select("doc_id", *base, "base_sha256", spans.alias("spans"), total.alias("n_spans"), *counts)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:

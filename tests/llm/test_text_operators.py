@@ -215,3 +215,56 @@ def test_licenses_over_rows(spark, odd_docs, no_docs):
         assert sorted((m["dice"], m["license"]) for m in r["matches"]) == sorted(want)
     assert license_scan.scan(odd_docs).count() == odd_docs.count()
     assert license_scan.scan(no_docs).count() == 0
+
+
+def test_secrets_of_any_length_and_shape(spark):
+    rng = np.random.default_rng(1)
+    word = lambda n: "".join(rng.choice(list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"), n))
+    keys = ["sk_" + "live_" + word(24), word(150), word(500), "q" * 70 + word(30), "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"]
+    texts = [f'token = "{k}"' for k in keys for _ in range(5)] + ["commit f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda", "sha256 " + "0f" * 32, "the_name_of_a_variable_in_code_1", "w" * 40, "x" * 300_000]
+    got = [r["spans"] for r in pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got[: len(keys) * 5] == [f"secret:9:{9 + len(k)}" for k in keys for _ in range(5)]
+    assert got[len(keys) * 5 :] == [""] * 5
+
+
+def test_labelers_read_different_things():
+    """The form reads the span, the list its value, the context what is around: each can differ while the others stay."""
+    t = "call token = " + "ab12" * 10
+    assert pii.votes("secret", t, 13, 53) == (0, 0, 1)
+    assert pii.votes("secret", t.replace("token", "commit"), 14, 54) == (0, 0, -1)
+    assert pii.votes("secret", "token sk_" + "live_" + "aB3d" * 6, 6, 38) == (1, 1, 1)
+    assert pii.votes("secret", "noted xxxxxxxx1234" + "aB3d" * 6, 6, 42) == (1, -1, 0)
+    assert pii.votes("name", "Dear Mr Carlos B. Smith", 8, 23) == (1, 1, 1)
+    assert pii.votes("name", "said it. The Stone", 9, 18) == (-1, -1, -1)
+    assert pii.votes("iban", "IBAN DE89 3704 0044 0532 0130 00", 5, 32) == (1, 1, 1)
+
+
+def test_negatives_reach_the_estimate():
+    """Candidates that no labeler supports are counted, so that shares of true ones are of all candidates."""
+    found = pii.candidates("Thanea Onou went. commit " + "0a" * 20, [])
+    assert [k for k, *_ in found] == ["secret", "name"] and all(max(pii.decode(c)[1]) <= 0 for *_, c in found)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 12)), max_size=8))
+def test_candidates_cross_no_base_span(spans):
+    text = " ".join(f"{i:03d}-12-4321" for i in range(6))
+    base = [("ip", a, a + n) for a, n in spans]
+    want = [(a, a + 11) for a in range(0, 72, 12) if not any(a < e and s < a + 11 for _, s, e in base)]
+    assert [(a, b) for k, a, b, _ in pii.candidates(text, base) if k == "national_id"] == want
+
+
+def test_candidates_of_long_texts_are_quick():
+    import time
+
+    start = time.perf_counter()
+    for t in ("a@b.cd " * 30_000 + "123-45-6789 " * 30_000, "Ab " * 200_000, "-a" * 300_000 + " at dot", "aA" * 300_000, "(123) " * 100_000, "AB12 " * 100_000):
+        pii.candidates(t, pii.base_spans(t))
+    assert time.perf_counter() - start < 20
+
+
+def test_counts_by_kind(spark):
+    docs = spark.createDataFrame([(1, "a@b.com 1.2.3.4 1.2.3.5"), (2, None)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pii.detect(docs).collect()}
+    assert (rows[1]["n_email"], rows[1]["n_ip"], rows[1]["n_spans"]) == (1, 2, 3) and rows[2]["n_spans"] == 0
+    assert {f"n_{k}" for k in pii.KINDS} < set(rows[1].asDict())
