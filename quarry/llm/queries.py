@@ -37,7 +37,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.formatted(chat.link(table(spark, sf_dir, "conversations"))).drop("text")
+    return chat.formatted(chat.ordered(chat.link(table(spark, sf_dir, "conversations")))).drop("text")
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +60,4 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii, op2_vector_neardup, op3_mixing, op4_license, op5_audio, op6_bpe, op7_chat, op8_minhash, op9_toxicity, op10_langid)
 }
-ORACLES: dict[str, str] = {"op3_mixing": mixing.oracle(), "op4_license": license_scan.oracle()}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.oracle(), "op4_license": license_scan.oracle(), "op7_chat": chat.oracle()}

@@ -192,6 +192,68 @@ def test_long_reply_chain(spark):
     assert all((out[i]["depth"], out[i]["root_turn"], out[i]["text"]) == (i, 0, f"line {i}") for i in range(40))
 
 
+def both_ways(spark, rows):
+    """Rows of op7, from the operator and from its SQL."""
+    import duckdb
+    import pandas as pd
+
+    schema = "conv_id long, turn long, role string, text string"
+    df = chat.formatted(chat.ordered(chat.link(spark.createDataFrame(rows, schema)))).drop("text")
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    con = duckdb.connect()
+    con.register("conversations", conversations)
+    result = con.sql(chat.oracle()).select(*df.columns)
+    order = lambda r: tuple(map(str, r))
+    return sorted((tuple(r) for r in df.collect()), key=order), sorted(result.fetchall(), key=order)
+
+
+def test_chat_is_its_sql(spark):
+    rng = np.random.default_rng(5)
+    rows = [*CHAT, (5, 0, "user", " \t> > a b \n>\n\n \n> a"), (5, 1, None, "\x0b x\n>> \n>a b\n\n"), (5, None, "user", "a b")]
+    for conv in range(10, 25):
+        said = []
+        for turn in range(7):
+            own = ["ab"[x % 2] + " c" * (x // 2) + "\n" * int(x == 3) for x in rng.integers(0, 6, rng.integers(1, 5))]
+            of = said[rng.integers(len(said))] if said else []
+            said.append(own)
+            rows.append((conv, turn, "user", "\n".join([">" * int(rng.integers(1, 3)) + " " + x for x in of[int(rng.integers(0, 2)) :]] + own)))
+    got, want = both_ways(spark, rows)
+    assert got == want
+    assert sum(r[3] is not None for r in got) > 30
+
+
+def test_reply_order_and_conversations(spark, monkeypatch):
+    rows = [(1, 0, "user", "one"), (1, 1, "user", "two"), (1, 2, "user", "> one\nre one"), (1, 3, "user", "> re one\nagain"), (1, 4, "user", "> two\nre two"), (2, 0, "user", "x"), (None, 0, "user", "lost"), (1, 1, "user", "two")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted((r["position"], r["turn"]) for r in chat.ordered(chat.link(df)).where("conv_id = 1").collect())
+    assert got == [(1, 0), (2, 2), (3, 3), (4, 1), (5, 1), (6, 4)]
+    assert chat.ordered(chat.link(df)).where("conv_id is null").first()["position"] is None
+    parts = {(r["conv_id"], r["part"]): (r["n_messages"], r["chat"]) for r in chat.conversations(df, 4).collect()}
+    line = lambda t: f"<|user|>\n{t}\n<|end|>\n"
+    assert parts == {(1, 0): (4, "".join(map(line, ("one", "re one", "again", "two")))), (1, 1): (2, line("two") + line("re two")), (2, 0): (1, line("x"))}
+    assert chat.conversations(df.where("false")).count() == 0
+
+
+def test_positions_over_many_ranges(spark):
+    """One conversation of all rows lies over several tasks and is still counted through."""
+    df = spark.range(3000).selectExpr("7L AS conv_id", "3000 - id AS turn", "'user' AS role", "concat('m', id) AS text")
+    got = {r["turn"]: r["position"] for r in chat.ordered(chat.link(df)).collect()}
+    assert got == {t: t for t in range(1, 3001)}
+
+
+def test_marks_and_blanks_without_end(spark):
+    import time
+
+    n = 1_000_000
+    texts = [">" * n, "> " * n, " " * n + ">x", "a" + " " * n + "b", "\n" * n, "a\n" + " \t" * n + "\nb", ">a\n" * 10_000]
+    df = spark.createDataFrame([(i, 1, "user", t) for i, t in enumerate(texts)] + [(0, 2, "user", ">" * n)], "conv_id long, turn long, role string, text string")
+    chat.link(df.limit(1)).collect()
+    start = time.perf_counter()
+    got = {(r["conv_id"], r["turn"]): r["text"] for r in chat.link(df).collect()}
+    assert time.perf_counter() - start < 20
+    assert [got[i, 1] for i in (0, 1, 2, 4)] == [""] * 4 and len(got[3, 1]) == n + 2 and got[5, 1][0] + got[5, 1][-1] == "ab"
+
+
 def test_native_plans_hold_no_python(spark, odd_docs):
     from quarry.llm import license_scan
 
