@@ -27,12 +27,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, map_runs
+from quarry.llm.common import cut, discard, map_runs
 from quarry.llm.components import components, local_components
 
 MISS, TILE, SEED = 1e-5, 512, 31_337
 
 
+#: Parts into which what is known of a bucket is dealt, to meet its vectors.
+SALTS = 8
+
+
 def tables_for(largest: int, threshold: float) -> tuple[int, int]:
     """Sign bits and tables for labels of at most so many vectors."""
     bits = max(8, min(24, math.ceil(math.log2(max(largest, 1) / 16 + 1))))
@@ -45,8 +49,13 @@ def planes(size: int, bits: int, tables: int) -> np.ndarray:
 
 
 def hashed(vectors: DataFrame, bits: int, tables: int, vec_id: str, embedding: str, label: str) -> DataFrame:
-    """(id, class, codes, vector) of each row; class and codes are null where nothing may link."""
+    """(id, label, class, codes, vector) of each row; class and codes are null where nothing may link.
+
+    Codes take as many bytes for each table as its bits need, vectors those of
+    the input's components.
+    """
     kind = vectors.schema[vec_id].dataType.simpleString()
+    code_bytes, stored = -(-bits // 8), component_type(vectors, embedding)
     held: dict[int, np.ndarray] = {}
     powers = 1 << np.arange(bits)
 
@@ -66,20 +75,25 @@ def hashed(vectors: DataFrame, bits: int, tables: int, vec_id: str, embedding: s
                         held[len(x)] = planes(len(x), bits, tables)
                     signs = ((x / top) @ held[len(x)] > 0).reshape(tables, bits)
                     key.append(xxhash.xxh3_128_digest(f"{tag} {len(x)} ".encode() + x.tobytes()))
-                    codes.append((signs @ powers).astype("<u4").tobytes())
-                    raw.append(x.tobytes())
+                    codes.append((signs @ powers).astype("<u4").view(np.uint8).reshape(tables, 4)[:, :code_bytes].tobytes())
+                    raw.append(x.astype(stored).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast("string"), pa.array(key, pa.binary()), pa.array(codes, pa.binary()), pa.array(raw, pa.binary())], names=["id", "label", "class", "codes", "vector"])
 
     return vectors.select(vec_id, embedding, label).mapInArrow(run, f"id {kind}, label string, class binary, codes binary, vector binary")
 
 
-def tile(rows: dict, threshold: float) -> tuple | None:
+def component_type(vectors: DataFrame, embedding: str) -> str:
+    """How a vector's components are stored: as they come, if they are floats."""
+    return "<f4" if vectors.schema[embedding].dataType.elementType.simpleString() == "float" else "<f8"
+
+
+def tile(rows: dict, threshold: float, stored: str = "<f8", code_bytes: int = 4) -> tuple | None:
     """Links within one tile: (id, n, to); n counts vectors linked here first, to is in the same local component."""
     i, j, t = int(rows["i"][0]), int(rows["j"][0]), int(rows["t"][0])
     order = np.argsort(rows["id"], kind="stable")
     ids, own, size = rows["id"][order], rows["own"][order], rows["size"][order]
-    width = int(rows["width"][0]) // 8
-    x = np.frombuffer(b"".join(rows["vector"].to_pylist()), dtype=np.float64).reshape(-1, width)[order]
+    width = int(rows["width"][0]) // np.dtype(stored).itemsize
+    x = np.frombuffer(b"".join(rows["vector"].to_pylist()), dtype=stored).reshape(-1, width)[order].astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     x = x / np.sqrt(np.einsum("nd,nd->n", x, x))[:, None]
     left, right = (np.arange(len(ids)),) * 2 if i == j else (np.flatnonzero(own == i), np.flatnonzero(own == j))
@@ -88,9 +102,9 @@ def tile(rows: dict, threshold: float) -> tuple | None:
     if i == j:
         p, q = p[p < q], q[p < q]
     if len(p) and t:
-        codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), dtype="<u4").reshape(len(ids), -1)[order]
+        codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), dtype=np.uint8).reshape(len(ids), t, code_bytes)[order]
         for s in range(t):  # met in an earlier table
-            new = codes[p, s] != codes[q, s]
+            new = (codes[p, s] != codes[q, s]).any(axis=1)
             p, q = p[new], q[new]
     if not len(p):
         return None
@@ -104,23 +118,31 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "
     largest = vectors.where(F.col(label).isNotNull()).groupBy(label).count().agg(F.max("count")).first()[0] or 1
     bits, tables = tables_for(largest, threshold)
     rows = cut(hashed(vectors, bits, tables, vec_id, embedding, label))
-    classes = cut(rows.where("class is not null").groupBy("class").agg(F.min("id").alias("id"), F.count("*").alias("size")))
-    nodes = rows.where("class is not null and id is not null").join(classes, ["class", "id"]).dropDuplicates(["class"])
-    nodes = cut(nodes.select("id", "size", "label", F.octet_length("vector").alias("width"), "codes", "vector"))
-    code = lambda t: F.substring("codes", F.lit(1) + t * 4, F.lit(4))
-    spots = nodes.select("id", "size", "label", "width", "codes", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("t"))
-    spots = spots.select("id", "size", "codes", "t", F.xxhash64("label", "width", "t", code(F.col("t"))).alias("bucket"), "label", "width")
-    full = cut(spots.groupBy("bucket", "t").agg(F.count("*").alias("m")).where("m > 1"))
-    dealt = spots.join(full, ["bucket", "t"]).withColumn("blocks", F.ceil(F.col("m") / TILE).cast("int"))
+    # A class is one node under a number of its own, since a vec_id may come with several vectors.
+    nodes = rows.where("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("label", "codes", "vector")))
+    sizes = rows.where("class is not null").groupBy("class").agg(F.count("*").alias("size"))
+    nodes = nodes.join(sizes, "class").withColumns({"id": F.monotonically_increasing_id(), "width": F.octet_length("vector")})
+    nodes = cut(nodes.select("id", "class", "least", "size", "label", "width", "codes", "vector"))
+    code_bytes, stored = -(-bits // 8), component_type(vectors, embedding)
+    code = F.substring("codes", F.lit(1) + F.col("t") * code_bytes, F.lit(code_bytes))
+    spots = nodes.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))))
+    spots = spots.select("id", "t", F.xxhash64("label", "width", "t", code).alias("bucket"), "label", "width")
+    full = cut(spots.groupBy("bucket", "t", "label", "width").agg(F.count("*").alias("m")).where("m > 1").select("bucket", "t", "m"))
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    dealt = spots.select("id", "t", "bucket", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(SALTS)).cast("int").alias("salt")).join(full.withColumn("salt", salt), ["bucket", "t", "salt"])
+    dealt = dealt.withColumn("blocks", F.ceil(F.col("m") / TILE).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", "t", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "size", "codes", "label", "width").join(nodes.select("id", "vector"), "id")
-    kind = rows.schema["id"].dataType.simpleString()
-    met = cut(map_runs(dealt, ["label", "width", "bucket", "t", "i", "j"], lambda g: tile(g, threshold), f"id {kind}, n long, to {kind}"))
-    linked = met.groupBy("id").agg(F.sum("n").alias("n"))
-    joined = components(met, "id", "to")
-    top = classes.join(linked, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")
-    top = top.select("class", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    keyed = rows.select("id", F.coalesce("class", F.encode(F.concat(F.lit("single "), F.coalesce(F.col("id").cast("string"), F.lit(""))), "UTF-8")).alias("class"))
-    out = keyed.join(top, "class", "left")
+    dealt = dealt.select("bucket", "t", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id")
+    # Ids alone went to the buckets; a vector and the codes of the tables before this one join them for the tile.
+    dealt = dealt.join(nodes.drop("class", "least"), "id").select("bucket", "t", "i", "j", "own", "id", "size", "label", "width", F.substring("codes", F.lit(1), F.col("t") * code_bytes).alias("codes"), "vector")
+    met = cut(map_runs(dealt, ["label", "width", "bucket", "t", "i", "j"], lambda g: tile(g, threshold, stored, code_bytes), "id long, n long, to long"))
+    linked = cut(met.groupBy("id").agg(F.sum("n").alias("n")))
+    joined = cut(components(met, "id", "to"))
+    discard(full, met)
+    named = nodes.select("id", "class", "least", "size")
+    smallest = joined.join(named.select(F.col("id").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("smallest"))
+    top = named.join(linked, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left").join(smallest, "component", "left")
+    top = top.select("class", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("smallest", "least").alias("component_id"))
+    out = rows.select("id", "class").join(top, "class", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
