@@ -1,9 +1,9 @@
 """Near-duplicate documents: MinHash bands, sequential Bayesian pruning, exact sets.
 
 1. Each row gets its set of hashed word shingles, a digest of that set, and a
-   signature of BANDS x ROWS minima.  Rows with equal sets form a class, whose
-   smallest doc_id stands for it from here on.
-2. Representatives that agree in a band are candidates.  First, every member
+   signature of BANDS x ROWS minima.  Rows with equal sets form a class, which
+   is one node from here on.
+2. Nodes that agree in a band are candidates.  First, every member
    of a bucket is compared with the bucket's smallest member alone.  A
    signature is read in batches; with m matches in n, the posterior of
    similarity >= threshold is a binomial tail (uniform prior), and a pair
@@ -11,9 +11,15 @@
    verified links are joined to components.
 3. Buckets that then still hold several components are compared pair by pair,
    in tiles, for members of different components; a pair that agrees in several
-   bands counts in the first.  A tile names the members of its survivors; their
-   full sets are then compared in the same tiles, exactly, and a tile emits one
-   link for each member towards its local component, never the pairs.
+   bands counts in the first.  Members of the component of a bucket's smallest
+   member are compared with the others alone, so that a large bucket with few
+   others costs few tiles.  A tile is bounded in members and in shingles.  It
+   names the members of its survivors; their full sets are then compared in the
+   same tiles, exactly, and a tile emits one link for each member towards its
+   local component, never the pairs.
+
+Links are confirmed on the 64-bit hashes of all shingles of both documents.
+Buckets are salted by their size where members meet what is known of a bucket.
 
 No link between different components can be lost other than by the bands
 (7e-8 at a similarity of 0.85, 1.5e-5 at 0.8) or by MISS.  Large groups of near
@@ -21,11 +27,13 @@ copies are joined in step 2 with one comparison for each member and band.
 
 Nulls: a null text counts as empty; a set without shingles links with nothing.
 A row with null doc_id gets a null component_id and is kept.  Repeated rows
-each give a row with the same answer.  Other columns are ignored.
+each give a row with the same answer.  Rows of one doc_id with different texts
+are each compared by their own text.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -36,15 +44,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, map_texts
+from quarry.llm.common import chunks, cut, discard, map_texts
 from quarry.llm.components import components, local_components
 
 BANDS, ROWS = 28, 5
 HASHES = BANDS * ROWS
 #: Hashes of one batch of a signature; chance to drop a pair at the threshold.
 STEP, MISS = 20, 1e-6
-#: Members of a tile; shingles hashed at once.
-TILE, PART = 512, 2048
+#: Members and shingles of a block, two of which make a tile; members of a bucket that meet in one task; shingles hashed at once.
+TILE, HELD, SALT, PART = 512, 1 << 20, 4096, 2048
 #: Shingles whose membership is held as a matrix at once.
 COLUMNS = 8192
 
@@ -93,31 +101,39 @@ def least_matches(threshold: float) -> list[tuple[int, int]]:
     return out
 
 
+def set_digest(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
 def prepared(docs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
-    """(id, n_shingles, class, signature) of each row, written to the shared folder."""
+    """(id, n_shingles, class, text_md5, signature) of each row, written to the shared folder; class and signature are null without shingles."""
 
     def run(ids, texts):
         sets = [shingles(t, n) for t in texts]
-        key = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else f"empty {i}".encode() for i, s in zip(ids, sets, strict=True)]
-        return [ids, [len(s) for s in sets], key, [signature(s) if len(s) else None for s in sets]]
+        md5 = [None if t is None else hashlib.md5(t.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for t in texts]
+        return [ids, [len(s) for s in sets], [set_digest(s) if len(s) else None for s in sets], md5, [signature(s) if len(s) else None for s in sets]]
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return cut(map_texts(docs.select(doc_id, text), run, f"id {kind}, n_shingles long, class binary, signature binary"))
+    return cut(map_texts(docs.select(doc_id, text), run, f"id {kind}, n_shingles long, class binary, text_md5 binary, signature binary"))
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
-    """(id, hashes) of the documents in ids (id), from a second read of their texts, written to the shared folder.
+def full_sets(docs: DataFrame, wanted: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
+    """(id, hashes) of the nodes in wanted (id, doc, class), from a second read of texts, written to the shared folder.
 
     Most documents share no band with another; storing all sets would cost
-    more than the texts do.
+    more than the texts do.  Texts move once, to the node of their doc_id; one
+    that isn't of the node's class (its doc_id has several texts) is left out.
     """
 
-    def run(keys, texts):
-        return [keys, [shingles(t, n).tobytes() for t in texts]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, 2):
+                sets = [shingles(t, n) for t in part.column(2).to_pylist()]
+                rows = [i for i, (c, s) in enumerate(zip(part.column(1).to_pylist(), sets, strict=True)) if set_digest(s) == c]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array([sets[i].tobytes() for i in rows], pa.binary())], names=["id", "hashes"])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(ids.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "text"])
-    return cut(map_texts(texts, run, f"id {kind}, hashes binary"))
+    texts = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).join(wanted.select("id", "doc", "class"), "doc").select("id", "class", "text")
+    return cut(texts.mapInArrow(run, "id long, hashes binary"))
 
 
 def survivors(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -161,18 +177,34 @@ def verified(pairs: DataFrame, sets: DataFrame, over: int, of: int) -> DataFrame
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def salted(members: DataFrame, known: DataFrame) -> DataFrame:
+    """members (bucket, id, m, ...) with what known has of their buckets (bucket, m, ...), at most about SALT members of a bucket in a task."""
+    salts = F.ceil(F.col("m") / SALT).cast("int")
+    left = members.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(9)), salts).cast("int"))
+    right = known.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("m")
+    return left.join(right, ["bucket", "salt"]).drop("salt")
+
+
 def tiled(open_rows: DataFrame, threshold: float) -> DataFrame:
     """Members of pairs of different components that survive within buckets: (bucket, i, j, own, id, comp).
 
-    open_rows: (bucket, band, m, id, comp, signature), m the bucket's members.
-    A bucket of many members is cut into blocks by a hash; each pair of blocks
-    is a tile (i, j), so that no task holds more than two blocks at once.  A
-    pair that agrees in an earlier band is left to that band's bucket.
+    open_rows: (bucket, band, m, id, comp, signature), m the bucket's members;
+    size, where there is one, the shingles of each.  The members of a bucket
+    are cut into blocks by a hash: first those outside the component of its
+    smallest member, then those inside.  A pair of blocks is a tile (i, j),
+    unless both are inside, so that no task holds more than two blocks at once.
+    A pair that agrees in an earlier band is left to that band's bucket.
     """
     need = least_matches(threshold)
-    blocks = F.ceil(F.col("m") / TILE).cast("int")
-    dealt = open_rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), "blocks").cast("int"))
-    dealt = dealt.select("bucket", "band", "own", "id", "comp", "signature", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = open_rows if "size" in open_rows.columns else open_rows.withColumn("size", F.lit(1))
+    main = rows.groupBy("bucket").agg(F.first("m").alias("m"), F.min_by("comp", "id").alias("main"), F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d").select("bucket", "m", "main")
+    rows = cut(salted(rows, main).withColumn("inside", F.col("comp") == F.col("main")))
+    blocks = lambda own: F.ceil(F.greatest(F.sum(own.cast("long")) / TILE, F.sum(F.when(own, F.col("size")).otherwise(0)) / HELD)).cast("int")
+    counts = rows.groupBy("bucket").agg(F.first("m").alias("m"), blocks(~F.col("inside")).alias("outer"), blocks(F.col("inside")).alias("inner"))
+    key = F.xxhash64("id", F.lit(5))
+    own = F.when(F.col("inside"), F.col("outer") + F.pmod(key, F.col("inner"))).otherwise(F.pmod(key, F.col("outer"))).cast("int")
+    others = F.when(F.col("inside"), F.col("outer")).otherwise(F.col("outer") + F.col("inner"))
+    dealt = salted(rows, counts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
     dealt = dealt.select("bucket", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "signature")
     kind = open_rows.schema["id"].dataType.simpleString()
 
@@ -237,43 +269,63 @@ def tiled_links(members: DataFrame, sets: DataFrame, over: int, of: int) -> Data
     return members.join(sets, "id").select("bucket", "i", "j", "id", "hashes").groupBy("bucket", "i", "j").applyInPandas(run, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, over: int = 80, of: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row.
+def labelled(docs: DataFrame, n: int, over: int, of: int, doc_id: str, text: str) -> DataFrame:
+    """(id, text_md5, n_shingles, root, component_id) of each row.
 
-    Documents are linked when of * intersection >= over * union of their sets
-    of n-word shingles; component_id is the smallest doc_id reachable.
+    root is the same for the rows of one group and null for a row that links
+    with nothing and has no copy known by its shingles (none, or a null id).
     """
     threshold = over / of
     rows = prepared(docs, n, doc_id, text)
-    classes = cut(rows.where("id is not null").groupBy("class").agg(F.min("id").alias("id")))
-    nodes = cut(rows.where("n_shingles > 0").select("class", "id", "signature").join(classes, ["class", "id"]).dropDuplicates(["class"]).select("id", "signature"))
+    sized = rows.where("id is not null and class is not null")
+    nodes = sized.groupBy("class").agg(F.min("id").alias("doc"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature"))
+    nodes = cut(nodes.withColumn("id", F.monotonically_increasing_id()))
     bands = F.array(*(F.xxhash64(F.substring("signature", 1 + 2 * ROWS * b, 2 * ROWS), F.lit(b)) for b in range(BANDS)))
     placed = nodes.select("id", F.posexplode(bands).alias("band", "bucket"))
     buckets = cut(placed.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("m")).where("lead <> last").select("bucket", "lead", "m"))
     members = cut(placed.join(buckets, "bucket"))
     stars = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     signed = lambda p: p.join(nodes.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a").join(nodes.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b").select("a", "b", "sa", "sb")
-    sets = full_sets(docs, members, n, doc_id, text)
+    sets = full_sets(docs, nodes.join(members.select("id").distinct(), "id", "left_semi"), n, doc_id, text)
     links = cut(verified(survivors(signed(stars), threshold), sets, over, of))
-    joined = components(links)
-    joined = cut(joined)
+    joined = cut(components(links))
     grouped = members.where("m > 2").join(joined.withColumnRenamed("node", "id"), "id", "left").select("bucket", "band", "m", "id", F.coalesce("component", "id").alias("comp"))
-    still = grouped.groupBy("bucket").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d").select("bucket")
-    waiting = grouped.join(still, "bucket", "left_semi").join(nodes, "id")
-    more = cut(tiled_links(cut(tiled(waiting, threshold)), sets, over, of))
+    mixed = grouped.groupBy("bucket").agg(F.first("m").alias("m"), F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d").select("bucket", "m")
+    waiting = salted(grouped, mixed).join(nodes.select("id", "size", "signature"), "id")
+    found = cut(tiled(waiting, threshold))
+    more = cut(tiled_links(found, sets, over, of))
     if not more.isEmpty():
-        joined = components(links.unionByName(more))
-    top = classes.join(joined.withColumnRenamed("node", "id"), "id", "left").select("class", F.coalesce("component", "id").alias("component_id"))
-    out = rows.select("id", "n_shingles", "class").join(top, "class", "left")
-    component = F.when(F.col("id").isNotNull(), F.col("component_id"))
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+        discard(joined)
+        joined = cut(components(links.unionByName(more)))
+    discard(buckets, members, sets, found, links, more)
+    least = joined.join(nodes.select(F.col("id").alias("node"), "doc"), "node").groupBy("component").agg(F.min("doc").alias("least"))
+    named = nodes.select("id", "class", "doc").join(joined.withColumnRenamed("node", "id"), "id", "left").join(least, "component", "left")
+    named = named.select("class", F.coalesce("component", "id").alias("root"), F.coalesce("least", "doc").alias("component_id"))
+    out = rows.select("id", "text_md5", "n_shingles", "class").join(named, "class", "left")
+    some = F.col("id").isNotNull()
+    return out.select("id", "text_md5", "n_shingles", F.when(some, F.col("root")).alias("root"), F.when(some, F.coalesce("component_id", "id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, over: int = 80, of: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row.
+
+    Documents are linked when of * intersection >= over * union of their sets
+    of n-word shingles; component_id is the smallest doc_id reachable.
+    """
+    out = labelled(docs, n, over, of, doc_id, text)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_first(docs: DataFrame, n: int = 5, over: int = 80, of: int = 100) -> DataFrame:
-    """The rows of docs, all columns, of which one stays for each group of near duplicates.
+    """The rows of docs, all columns, of which one stays for each group of near duplicates: by doc_id, then by the MD5 of its text.
 
-    Rows with the same doc_id are one document; rows with null doc_id all stay.
+    Repeated rows (same doc_id, same text) are one row, of which one stays.
+    Different texts with one doc_id are judged by their own group each.  Rows
+    with null doc_id, and without words, all stay, but for repeated ones.
     """
-    gone = near_duplicates(docs, n, over, of).where("not kept").select(F.col("doc_id").alias("_gone"))
-    known = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null"))
+    rows = cut(labelled(docs, n, over, of, "doc_id", "text").where("root is not null").select("root", F.struct("id", "text_md5").alias("own")))
+    first = rows.groupBy("root").agg(F.min("own").alias("first"), F.max("own").alias("last")).where("first <> last").select("root", "first")
+    gone = rows.join(first, "root").where("own <> first").select("own.id", "own.text_md5").distinct()
+    packed = docs.select(F.struct("*").alias("row"), docs["doc_id"].alias("id"), F.unhex(F.md5(F.encode(docs["text"], "UTF-8"))).alias("text_md5"))
+    known = packed.where("id is not null").join(gone, ["id", "text_md5"], "left_anti").dropDuplicates(["id", "text_md5"])
+    return known.select("row.*").unionByName(packed.where("id is null").select("row.*"))
