@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -103,6 +104,20 @@ def discard(*tables: DataFrame) -> None:
                 jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def fitted(rows: DataFrame, train: Callable):
+    """train(rows as a list of dicts), run in one task over a bounded sample; what it returns comes back pickled.
+
+    The driver holds neither the rows nor what training needs besides them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [r for b in batches for r in b.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(held))], pa.binary())], names=["model"])
+
+    made = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return train([]) if made is None else pickle.loads(made[0])  # no task ran without rows
+
+
 def fold(doc_id: str | Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null id counts as empty text."""
     return F.crc32(F.encode(F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit("")), "UTF-8")) % n

@@ -4,13 +4,16 @@ A word's vector is the sum of hashed embeddings of the word and of its
 prefixes.  Filters of several widths run over the word vectors, each filter's
 largest value in the document is kept, and a logistic layer scores them.  The
 network is fitted on a bounded sample of labelled rows (POSITIVES and
-NEGATIVES, in an order by hash); a part of it that training doesn't see scales
-the scores to probabilities and sets one threshold for each language.
+NEGATIVES, in an order by hash, texts of at most LONGEST bytes); a part of it
+that training doesn't see scales the scores to probabilities and sets one
+threshold for each language.  Training runs in one task, not in the driver.
 
 Nulls: a null or empty text has no words and gets the score of the bias alone.
 Null labels aren't learned from; several labels of a document count as their
-largest.  Null doc_id stay, repeated rows each give a row, other columns are
-ignored.  Without both labels in the sample, every score is the prior's.
+largest, of several texts of a labelled doc_id the first in order is learned
+from.  Null doc_id stay, repeated rows each give a row, other columns are
+ignored, whatever their names.  keep_clean() keeps rows with null or empty text
+as long as the bias alone is under the threshold, repeated ones alike.  Without both labels in the sample, every score is the prior's.
 """
 
 from __future__ import annotations
@@ -23,13 +26,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fold, map_texts
+from quarry.llm.common import fitted, fold, map_texts
 
-#: Rows of each label that are learned from, at most.
-POSITIVES, NEGATIVES = 2048, 4096
+#: Rows of each label that are learned from, at most, and bytes of such a text.
+POSITIVES, NEGATIVES, LONGEST = 2048, 4096, 1 << 18
 BUCKETS, WIDTH, FILTERS, WIDTHS = 1 << 16, 16, 24, (1, 2, 3)
-PREFIXES = (4, 5, 6, 7)
-STEPS, BATCH, RATE = 600, 24, 0.05
+#: Chosen, with STEPS and DROPPED, on folds of the rows that may be learned from (remainders 0 and 1, each left out in turn).
+PREFIXES = (3, 4, 5)
+STEPS, BATCH, RATE = 1200, 24, 0.05
+#: Share of a row's words that a training step leaves out, so that one word of several is learned too.
+DROPPED = 0.4
 #: Word vectors kept in a worker; beyond that, the store starts anew.
 KEPT = 150_000
 #: Words whose filters are computed at once.
@@ -146,7 +152,8 @@ def train(texts: list[str], toxic: np.ndarray, langs: list[str], weight: np.ndar
         grads = [np.zeros_like(a) for a in (*net.filters, net.bias, net.out)]
         hit, push = [], []
         for i in rows:
-            bag = bags[i]
+            stay = rng.random(len(bags[i])) >= DROPPED
+            bag = bags[i][stay] if stay.any() else bags[i]
             x = table[bag].sum(axis=1)
             value, at = pooled(net, x)
             drop = rng.random(len(value)) < 0.8
@@ -183,6 +190,33 @@ def train(texts: list[str], toxic: np.ndarray, langs: list[str], weight: np.ndar
     return calibrate(net, texts, toxic, langs, weight, part, prior)
 
 
+def platt(z: np.ndarray, y: np.ndarray, w: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and offset of the logistic curve of y over logits z, by Newton steps that never raise the loss.
+
+    Logits are brought to mean 0 and deviation 1 first, so that a network of
+    large ones converges too; the slope is positive.
+    """
+    mean, spread = float(z.mean()), float(z.std()) or 1.0
+    x = np.stack([(z - mean) / spread, np.ones_like(z)], axis=1)
+    start = np.array([1.0, np.log(prior / (1 - prior))])
+
+    def loss(t: np.ndarray) -> float:
+        return float(w @ (np.logaddexp(0, x @ t) - y * (x @ t)) + 1e-3 * ((t - start) ** 2).sum())
+
+    theta = start
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        hess = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag([2e-3, 2e-3])
+        step, now = np.linalg.solve(hess, x.T @ (w * (p - y)) + 2e-3 * (theta - start)), loss(theta)
+        while loss(theta - step) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        theta = theta - step
+        if np.abs(step).max() < 1e-7:
+            break
+    slope = max(float(theta[0]), 0.05) / spread
+    return slope, float(theta[1]) - slope * mean
+
+
 def calibrate(net: Net, texts: list[str], toxic: np.ndarray, langs: list[str], weight: np.ndarray, part: np.ndarray, prior: float) -> Net:
     """Scale logits to probabilities on unseen rows, and set the threshold of best F1 for each language."""
     reader, rows = Reader(net), np.flatnonzero(part)
@@ -190,13 +224,7 @@ def calibrate(net: Net, texts: list[str], toxic: np.ndarray, langs: list[str], w
         return net._replace(scale=(1.0, float(np.log(prior / (1 - prior)))), thresholds={"": 0.3})
     z = np.array([logit(net, reader.vectors(texts[i])) for i in rows])
     y, w = toxic[rows].astype(float), weight[rows] / weight[rows].sum()
-    x, theta = np.stack([z, np.ones_like(z)], axis=1), np.array([1.0, float(np.log(prior / (1 - prior)))])
-    start = theta.copy()
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        hess = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag([2e-3, 2e-3])
-        theta = theta - np.linalg.solve(hess, x.T @ (w * (p - y)) + 2e-3 * (theta - start))
-    scale = (max(float(theta[0]), 0.05), float(theta[1]))
+    scale = platt(z, y, w, prior)
     p = 1 / (1 + np.exp(-np.clip(scale[0] * z + scale[1], -30, 30)))
     thresholds = {}
     for lang in ["", *sorted({langs[i] for i in rows})]:
@@ -209,26 +237,42 @@ def calibrate(net: Net, texts: list[str], toxic: np.ndarray, langs: list[str], w
     return net._replace(scale=scale, thresholds={"": 0.3} | thresholds)
 
 
-def sample(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> list[tuple[str, int, str, float]]:
-    """At most POSITIVES + NEGATIVES labelled rows: text, label, language, and rows that each stands for.
+def sampled(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> tuple[DataFrame, dict[int, int]]:
+    """At most POSITIVES + NEGATIVES labelled rows (place, doc_id, text, toxic, lang), and the labelled documents of either label.
 
     learn: condition on doc_id of the rows that may be learned from.  Which
-    rows are taken depends on a hash of doc_id alone.
+    rows are taken depends on a hash of doc_id alone; a doc_id gives one row.
     """
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     known = (known.where(learn) if learn is not None else known).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    counts = {r["toxic"]: r["count"] for r in known.where(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     some = known.where("toxic = 1").orderBy(*order).limit(POSITIVES).unionByName(known.where("toxic = 0").orderBy(*order).limit(NEGATIVES))
-    found = docs.select("doc_id", "text", "lang").join(F.broadcast(some), "doc_id").where("text is not null").orderBy(*order).select("doc_id", "text", "toxic", F.coalesce("lang", F.lit("")).alias("lang")).collect()
-    rows = list({r["doc_id"]: r for r in found}.values())
+    texts = docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang")).where(F.octet_length("text") <= LONGEST)
+    found = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("own"))
+    return found.select(F.xxhash64("doc_id").alias("place"), "doc_id", "own.text", "toxic", "own.lang"), counts
+
+
+def weighed(rows: list[dict], counts: dict[int, int]) -> list[tuple[str, int, str, float]]:
+    """Sampled rows in their order: text, label, language, and rows that each stands for."""
     held = {t: sum(r["toxic"] == t for r in rows) for t in (0, 1)}
-    return [(r["text"], r["toxic"], r["lang"], counts[r["toxic"]] / held[r["toxic"]]) for r in rows]
+    return [(r["text"], r["toxic"], r["lang"], counts[r["toxic"]] / held[r["toxic"]]) for r in sorted(rows, key=lambda r: (r["place"], r["doc_id"]))]
+
+
+def sample(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> list[tuple[str, int, str, float]]:
+    """What fit() learns from, brought here."""
+    rows, counts = sampled(docs, labels, learn)
+    return weighed([r.asDict() for r in rows.collect()], counts)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Net:
-    rows = sample(docs, labels, learn)
-    return train([r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.int64), [r[2] for r in rows], np.array([r[3] for r in rows]))
+    rows, counts = sampled(docs, labels, learn)
+
+    def learned(held: list[dict]) -> Net:
+        known = weighed(held, counts)
+        return train([r[0] for r in known], np.array([r[1] for r in known], dtype=np.int64), [r[2] for r in known], np.array([r[3] for r in known]))
+
+    return fitted(rows, learned)
 
 
 def scores(docs: DataFrame, net: Net, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -255,8 +299,8 @@ def keep_clean(docs: DataFrame, net: Net) -> DataFrame:
 
     limit = F.lit(net.thresholds[""])
     for lang, value in sorted(net.thresholds.items()):
-        limit = F.when(F.col("lang") == lang, value).otherwise(limit) if lang else limit
-    return docs.withColumn("_toxicity", score("text")).where(F.col("_toxicity") < limit).drop("_toxicity")
+        limit = F.when(docs["lang"] == lang, value).otherwise(limit) if lang else limit
+    return docs.where(score(docs["text"]) < limit)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
