@@ -2,6 +2,7 @@
 
 import itertools
 import os
+import re
 
 import numpy as np
 import pytest
@@ -303,3 +304,99 @@ def test_pipeline_stages(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r["doc_id"] for r in last.collect()} == before
     assert docs.where(F.col("text").rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9-]+")).count() == 0
+
+
+def plain_score(net, text):
+    """The classifier's score by loops over every window of words."""
+    words = toxicity.WORDS.findall((text or "").lower())
+    x = [sum(net.table[k].astype(float) for k in toxicity.keys(w)) for w in words] or [np.zeros(toxicity.WIDTH)]
+    tops = []
+    for width, w in zip(toxicity.WIDTHS, net.filters, strict=True):
+        padded = x + [np.zeros(toxicity.WIDTH)] * (width - len(x))
+        tops.append(np.max([np.concatenate(padded[i : i + width]) @ w for i in range(len(padded) - width + 1)], axis=0))
+    z = np.maximum(np.concatenate(tops) + net.bias, 0) @ net.out[:-1] + net.out[-1]
+    return 1 / (1 + np.exp(-(net.scale[0] * z + net.scale[1])))
+
+
+def test_scores_are_the_plain_convolution(small_net):
+    reader = toxicity.Reader(small_net)
+    for t in (None, "", "one", "two Words", "vilebad", prose(60, 1) + " vilebad stuff", prose(7, 2), "1 2 3", "é" * 50):
+        assert reader.score(t) == pytest.approx(plain_score(small_net, t), abs=1e-4)
+
+
+def plain_gru(unit, data):
+    """States of one unit over bytes, one at a time, by the usual equations."""
+    n, h, out = langid.HIDDEN, np.zeros(langid.HIDDEN), []
+    logistic = lambda v: 1 / (1 + np.exp(-v))
+    for c in data:
+        x, u = unit.x[:, c].astype(float), unit.h.astype(float) @ h
+        z, r = logistic(x[:n] + u[:n]), logistic(x[n : 2 * n] + u[n : 2 * n])
+        new = np.tanh(x[2 * n :] + r * u[2 * n :])
+        h = z * h + (1 - z) * new
+        out.append(h)
+    return out
+
+
+def plain_pool(net, raw):
+    """Each span's labels from the span and its context alone, byte after byte."""
+    total = np.zeros(len(net.langs))
+    for a in range(0, len(raw), langid.SPAN):
+        low, high = max(0, a - langid.CONTEXT), min(len(raw), a + langid.SPAN + langid.CONTEXT)
+        f, b = plain_gru(net.forward, raw[low:high]), plain_gru(net.backward, raw[low:high][::-1])[::-1]
+        for k in range(a - low, min(a + langid.SPAN, len(raw)) - low):
+            e = np.exp(net.out @ np.concatenate([f[k], b[k]]) + net.bias[:, 0])
+            total += e / e.sum()
+    return total / len(raw)
+
+
+def test_languages_are_the_plain_network(lang_net):
+    texts = ["x".encode(), "straße über das haus".encode(), ("the stone and the river é " * 40).encode(), b"a" * langid.SPAN, b"b" * (langid.SPAN + 1), "ü".encode() * 300]
+    got = langid.pool(lang_net, texts)
+    assert np.allclose(got, [plain_pool(lang_net, t) for t in texts], atol=1e-4)
+    assert np.allclose(got, np.concatenate([langid.pool(lang_net, [t]) for t in texts]), atol=1e-5)
+
+
+def test_masked_gradients(monkeypatch):
+    """Gradients through a unit that starts late in some windows."""
+    rng = np.random.default_rng(3)
+    unit = langid.Unit(rng.normal(0, 0.4, (3 * langid.HIDDEN, 256)), rng.normal(0, 0.4, (3 * langid.HIDDEN, langid.HIDDEN)))
+    steps, d = rng.integers(0, 5, (5, 3)), rng.normal(size=(5, langid.HIDDEN, 3))
+    inside = np.array([[1, 0, 0], [1, 0, 0], [1, 1, 0], [1, 1, 1], [1, 1, 1]], dtype=np.float32)
+    kept = []
+    states = langid.run(unit, steps, kept, inside)
+    assert (states[1, :, 1:] == 0).all()
+    grads = langid.backprop(unit, steps, states, kept, d, inside)
+    loss = lambda u: float((langid.run(u, steps, [], inside).astype(float) * d).sum())
+    for which, at in (("x", (2, steps[4, 1])), ("x", (20, steps[3, 2])), ("h", (3, 4)), ("h", (40, 1)), ("h", (22, 6))):
+        values = []
+        for sign in (1, -1):
+            w = getattr(unit, which).copy()
+            w[at] += sign * 1e-2
+            values.append(loss(unit._replace(**{which: w})))
+        assert getattr(grads, which)[at] == pytest.approx((values[0] - values[1]) / 2e-2, abs=2e-2)
+
+
+def test_letters_are_of_category_l(spark, lang_net):
+    docs = spark.createDataFrame(list(enumerate(["½ ① ²", "12 !", "_", "中", "ª", "٣", "1a"])), "doc_id long, text string")
+    assert [r["lang_pred"] == "und" for r in langid.predict(docs, lang_net).orderBy("doc_id").collect()] == [True, True, True, False, False, True, False]
+
+
+def test_samples_hold_one_row_of_an_id(spark, monkeypatch):
+    """A doc_id repeated over and over is learned from once; rare languages beyond the bound aren't learned."""
+    rows = [(7, "the river", "en")] * 500 + [(i, "the stone", "en") for i in range(100, 140)] + [(i, "die straße", "de") for i in range(200, 240)] + [(300 + i, "x", f"l{i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "LANGS", 2)
+    got = langid.sample(docs).collect()
+    assert len({r["doc_id"] for r in got}) == len(got) <= 81 and {r["lang"] for r in got} == {"en", "de"}
+    labels = spark.createDataFrame([(7, 1), (100, 0), (200, 0), (7, 0)], "doc_id long, toxic int")
+    assert len(toxicity.sample(docs, labels)) == 3
+
+
+def test_calibration_of_large_logits():
+    rng = np.random.default_rng(0)
+    y = (rng.random(400) < 0.1).astype(float)
+    for size in (1e-3, 1.0, 1e4):
+        z = size * (rng.normal(size=400) + 3 * y)
+        a, b = toxicity.platt(z, y, np.full(400, 1 / 400), 0.1)
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+        assert abs(p.mean() - y.mean()) < 0.05 and p[y == 1].mean() > 3 * p[y == 0].mean()
