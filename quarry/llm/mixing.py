@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,7 +148,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
     """cells with a column w: tokens raked to the target shares of each margin.
 
     cells: MARGINS and tokens (double).  Without keep, w sums to all tokens and
-    may exceed a cell's own; with it, cells are bounded (see the top).
+    may exceed a cell's own; with it, cells are bounded (see the top).  A table
+    of up to CELLS is marked to be broadcast.
     """
     rows, n = aimed(cells, targets, keep)
     rounds = rounds or (ROUNDS if keep is None else LIMIT)
@@ -155,7 +157,7 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
         return rake_table(rows, rounds, keep is not None)
     held = rows.toPandas()  # CELLS rows at most
     held["w"] = rake_arrays(held, rounds, keep is not None) if n else held["tokens"]
-    return cells.sparkSession.createDataFrame(held, rows.withColumn("w", F.lit(0.0)).schema)
+    return F.broadcast(cells.sparkSession.createDataFrame(pa.Table.from_pandas(held, preserve_index=False), rows.withColumn("w", F.lit(0.0)).schema))
 
 
 def calibrated(cells: DataFrame, keep: float = KEEP, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
