@@ -110,7 +110,7 @@ def prepared(docs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
 
     def run(ids, texts):
         sets = [shingles(t, n) for t in texts]
-        md5 = [None if t is None else hashlib.md5(t.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for t in texts]
+        md5 = [b"" if t is None else hashlib.md5(t.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for t in texts]
         return [ids, [len(s) for s in sets], [set_digest(s) if len(s) else None for s in sets], md5, [signature(s) if len(s) else None for s in sets]]
 
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -323,9 +323,10 @@ def keep_first(docs: DataFrame, n: int = 5, over: int = 80, of: int = 100) -> Da
     Different texts with one doc_id are judged by their own group each.  Rows
     with null doc_id, and without words, all stay, but for repeated ones.
     """
-    rows = cut(labelled(docs, n, over, of, "doc_id", "text").where("root is not null").select("root", F.struct("id", "text_md5").alias("own")))
-    first = rows.groupBy("root").agg(F.min("own").alias("first"), F.max("own").alias("last")).where("first <> last").select("root", "first")
-    gone = rows.join(first, "root").where("own <> first").select("own.id", "own.text_md5").distinct()
-    packed = docs.select(F.struct("*").alias("row"), docs["doc_id"].alias("id"), F.unhex(F.md5(F.encode(docs["text"], "UTF-8"))).alias("text_md5"))
-    known = packed.where("id is not null").join(gone, ["id", "text_md5"], "left_anti").dropDuplicates(["id", "text_md5"])
+    rows = cut(labelled(docs, n, over, of, "doc_id", "text").where("id is not null").select("root", "id", "text_md5"))
+    # The smallest of each group, found with partial minima; no row is joined by its group, which may be large.
+    first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("id", "text_md5")).alias("own")).select("own.id", "own.text_md5")
+    stay = first.unionByName(rows.where("root is null").select("id", "text_md5"))
+    packed = docs.select(F.struct("*").alias("row"), docs["doc_id"].alias("id"), F.coalesce(F.unhex(F.md5(F.encode(docs["text"], "UTF-8"))), F.lit(b"")).alias("text_md5"))
+    known = packed.where("id is not null").join(stay, ["id", "text_md5"], "left_semi").dropDuplicates(["id", "text_md5"])
     return known.select("row.*").unionByName(packed.where("id is null").select("row.*"))
