@@ -268,3 +268,41 @@ def test_counts_by_kind(spark):
     rows = {r["doc_id"]: r for r in pii.detect(docs).collect()}
     assert (rows[1]["n_email"], rows[1]["n_ip"], rows[1]["n_spans"]) == (1, 2, 3) and rows[2]["n_spans"] == 0
     assert {f"n_{k}" for k in pii.KINDS} < set(rows[1].asDict())
+
+
+def test_whole_licences_are_found(spark):
+    """Each licence's own text, wrapped at any width, alone and within other text, with what authors fill in."""
+    import textwrap
+
+    cases = []
+    for name, t in license_scan.TEXTS.items():
+        for width in (60, 80, 120, 10_000):
+            wrapped = "\n\n".join(textwrap.fill(p, width) for p in t.split("\n\n"))
+            cases += [(name, wrapped), (name, f"Some file.\nIts lines.\n\n{wrapped}\n\nMore of the file after it.\n\nand more"), (name, wrapped.replace("\n\n", "\n \t\n")), (name, "Copyright (c) 2020 A. Uthor\n\n" + wrapped.upper())]
+    cases += [(None, "A text with license and software in it.\n\nand permission"), (None, "")]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan(docs).collect()}
+    # The two BSD texts share four of five paragraphs: the better one wins.
+    assert [got[i]["text_license"] for i in range(len(cases))] == [name for name, _ in cases]
+    assert all(got[i]["n_matches"] > 0 for i, (name, _) in enumerate(cases) if name)
+
+
+def test_paragraphs_of_licences_are_notices(spark):
+    import textwrap
+
+    cases = [(k, textwrap.fill(t, w)) for k, t in license_scan.TEMPLATES.items() for w in (60, 10_000)]
+    docs = spark.createDataFrame([(i, f"before it\n\n{t}\n\nbehind it") for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan(docs).collect()}
+    assert all(got[i]["dice"] == 1.0 and got[i]["license"] == k for i, (k, _) in enumerate(cases))
+
+
+def test_licences_are_their_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    mit = license_scan.TEXTS["MIT"]
+    texts = [mit, mit.replace("\n\n", "\n"), "x\n\n" + mit + "\n\ny", mit[: len(mit) // 2], None, "", license_scan.TEXTS["BSD-2-Clause"], "\n\n".join(["one two"] * 30), "Released under the MIT License.", "é\n \n" + license_scan.TEXTS["ISC"]]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).drop("matches")
+    assert sorted(map(tuple, rows.collect())) == sorted(con.sql(license_scan.oracle()).select(*rows.columns).fetchall())
