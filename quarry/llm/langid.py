@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import chunks, fitted, fold, map_texts
 
 #: Bytes of a window; of a span that is labelled at once, and read on either side of it; units of a direction.
-WINDOW, SPAN, CONTEXT, HIDDEN = 64, 192, 32, 16
+WINDOW, SPAN, CONTEXT, HIDDEN = 64, 192, 32, 12
 #: Languages, documents of each that are learned from, pieces of each, and their bytes.
 LANGS, ROWS, WINDOWS, PIECE = 64, 300, 6, 96
 STEPS, BATCH, RATE = 400, 192, 0.02
