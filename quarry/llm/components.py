@@ -60,3 +60,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     top = cut(top)
     least = top.groupBy("to").agg(F.min("node").alias("component"))
     return top.join(least, "to").select("node", "component")
+
+
+def named_components(links: DataFrame, names: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component, name), written to the shared folder: the components of links, and the least name of each.
+
+    names: (node, name).  The least names are written before they are joined,
+    so that Spark knows their size: few are broadcast, and a large component's
+    rows are split where many aren't.
+    """
+    joined = cut(components(links, a, b))
+    least = cut(joined.join(names, "node").groupBy("component").agg(F.min("name").alias("name")))
+    return cut(joined.join(least, "component").select("node", "component", "name"))

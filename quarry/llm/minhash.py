@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import chunks, cut, discard, map_texts
-from quarry.llm.components import components, local_components
+from quarry.llm.components import local_components, named_components
 
 BANDS, ROWS = 28, 5
 HASHES = BANDS * ROWS
@@ -288,7 +288,8 @@ def labelled(docs: DataFrame, n: int, over: int, of: int, doc_id: str, text: str
     signed = lambda p: p.join(nodes.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a").join(nodes.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b").select("a", "b", "sa", "sb")
     sets = full_sets(docs, nodes.join(members.select("id").distinct(), "id", "left_semi"), n, doc_id, text)
     links = cut(verified(survivors(signed(stars), threshold), sets, over, of))
-    joined = cut(components(links))
+    names = nodes.select(F.col("id").alias("node"), F.col("doc").alias("name"))
+    joined = named_components(links, names)
     grouped = members.where("m > 2").join(joined.withColumnRenamed("node", "id"), "id", "left").select("bucket", "band", "m", "id", F.coalesce("component", "id").alias("comp"))
     mixed = grouped.groupBy("bucket").agg(F.first("m").alias("m"), F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d").select("bucket", "m")
     waiting = salted(grouped, mixed).join(nodes.select("id", "size", "signature"), "id")
@@ -296,11 +297,10 @@ def labelled(docs: DataFrame, n: int, over: int, of: int, doc_id: str, text: str
     more = cut(tiled_links(found, sets, over, of))
     if not more.isEmpty():
         discard(joined)
-        joined = cut(components(links.unionByName(more)))
+        joined = named_components(links.unionByName(more), names)
     discard(buckets, members, sets, found, links, more)
-    least = joined.join(nodes.select(F.col("id").alias("node"), "doc"), "node").groupBy("component").agg(F.min("doc").alias("least"))
-    named = nodes.select("id", "class", "doc").join(joined.withColumnRenamed("node", "id"), "id", "left").join(least, "component", "left")
-    named = named.select("class", F.coalesce("component", "id").alias("root"), F.coalesce("least", "doc").alias("component_id"))
+    named = nodes.select("id", "class", "doc").join(joined.withColumnRenamed("node", "id"), "id", "left")
+    named = named.select("class", F.coalesce("component", "id").alias("root"), F.coalesce("name", "doc").alias("component_id"))
     out = rows.select("id", "text_md5", "n_shingles", "class").join(named, "class", "left")
     some = F.col("id").isNotNull()
     return out.select("id", "text_md5", "n_shingles", F.when(some, F.col("root")).alias("root"), F.when(some, F.coalesce("component_id", "id")).alias("component_id"))

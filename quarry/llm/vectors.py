@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import cut, discard, map_runs
-from quarry.llm.components import components, local_components
+from quarry.llm.components import local_components, named_components
 
 MISS, TILE, SEED = 1e-5, 512, 31_337
 
@@ -137,11 +137,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "
     dealt = dealt.join(nodes.drop("class", "least"), "id").select("bucket", "t", "i", "j", "own", "id", "size", "label", "width", F.substring("codes", F.lit(1), F.col("t") * code_bytes).alias("codes"), "vector")
     met = cut(map_runs(dealt, ["label", "width", "bucket", "t", "i", "j"], lambda g: tile(g, threshold, stored, code_bytes), "id long, n long, to long"))
     linked = cut(met.groupBy("id").agg(F.sum("n").alias("n")))
-    joined = cut(components(met, "id", "to"))
-    discard(full, met)
     named = nodes.select("id", "class", "least", "size")
-    smallest = joined.join(named.select(F.col("id").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("smallest"))
-    top = named.join(linked, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left").join(smallest, "component", "left")
+    joined = named_components(met, named.select(F.col("id").alias("node"), F.col("least").alias("name")), "id", "to")
+    discard(full, met)
+    top = named.join(linked, "id", "left").join(joined.select(F.col("node").alias("id"), F.col("name").alias("smallest")), "id", "left")
     top = top.select("class", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("smallest", "least").alias("component_id"))
     out = rows.select("id", "class").join(top, "class", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
