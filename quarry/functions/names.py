@@ -97,8 +97,8 @@ def second_volumes(folder: Column, base: Column) -> Column:
 
 def normal_path(path: Column) -> Column:
     """Forward slashes, no ./ in front and no separators at the ends; null if empty or with a dot segment."""
-    p = F.replace(F.regexp_replace(path, r"^\s+|\s+$", ""), F.lit("\\"), F.lit("/"))
-    p = F.regexp_replace(F.regexp_replace(p, r"^(\./)+", ""), r"^/+|/+$", "")
+    p = F.replace(F.btrim(path, F.lit(" \t\n\x0b\f\r")), F.lit("\\"), F.lit("/"))
+    p = F.btrim(F.regexp_replace(p, r"^(?:\./)++", ""), F.lit("/"))
     return F.when((p != "") & ~F.exists(F.split(p, "/"), lambda s: s.isin(".", "..")), p)
 
 

@@ -266,3 +266,14 @@ def locate(data: Column, wanted: Column, hint: Column, radius: int = 64 * 1024)
         .when(near > 0, F.struct((low + near - 1).cast("long").alias("offset"), F.lit(2).alias("tier")))
         .otherwise(F.struct(far.alias("offset"), F.when(far >= 0, 3).otherwise(0).alias("tier")))
     )
+
+
+def custom_packer(unpacked: Column, flags: Column, is_dir: Column) -> Column:
+    """Which mark of a custom packer an entry's size is: all ones in 64 bits, or in 32 bits without the large flag; null for none."""
+    size = unpacked.cast("decimal(20,0)")
+    return F.when(is_dir, None).when(size == F.lit("18446744073709551615").cast("decimal(20,0)"), "all ones, large").when((size == 4294967295) & (flags.bitwiseAND(0x100) == 0), "all ones, 32 bits")
+
+
+def known_hash(digest: Column, known: list[str]) -> Column:
+    """Whether a digest is among known ones, whatever the case and blanks around them; false for null."""
+    return F.coalesce(F.lower(F.trim(digest)).isin([k.strip().lower() for k in known]), F.lit(False))

@@ -73,7 +73,7 @@ def read_entries(blocks: DataFrame, volumes: DataFrame, content: DataFrame, limi
     pieces = blocks.where(F.col("name").isNotNull() & F.col("type").isin(0x74, 2)).join(volumes, "path").withColumn("entry", F.concat_ws("|", "set_key", F.lower("name")))
     pieces = pieces.join(facts.where("skip_reason is null").select("entry"), "entry", "left_semi").join(content, "path")
     cut = F.substring("content", (F.col("data_offset") + 1).cast("int"), F.col("add_size").cast("int"))
-    whole = assemble(pieces.select("entry", (F.col("position") * 1_000_000 + F.col("block_no")).alias("ord"), cut.alias("data")), "entry")
+    whole = assemble(pieces.select("entry", F.row_number().over(Window.partitionBy("entry").orderBy("position", "block_no")).alias("ord"), cut.alias("data")), "entry")
     out = facts.join(whole, "entry", "left")
     wrong = F.col("data").isNotNull() & (F.crc32("data") != F.col("file_crc"))
     return out.select("set_key", "name", F.when(wrong, "checksum differs").otherwise(F.col("skip_reason")).alias("skip_reason"), F.when(~wrong, F.col("data")).alias("data"))

@@ -45,7 +45,8 @@ def keyed_diff(left: DataFrame, right: DataFrame, keys: list[str], values: list[
 
 def property_rows(left: DataFrame, right: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """One row for each property that differs, of keys on both sides: property, left_value, right_value."""
-    both = sides(left, right, keys, values).where("diff_type = 'Both'")
+    renamed = lambda df, side: df.select(*keys, *(F.col(v).alias(f"{side}_{v}") for v in values))
+    both = renamed(left, "l").join(renamed(right, "r"), keys)
     each = F.array(*(F.struct(F.lit(v).alias("property"), shown(F.col(f"l_{v}")).alias("left_value"), shown(F.col(f"r_{v}")).alias("right_value"), differs(F.col(f"l_{v}"), F.col(f"r_{v}")).alias("_d")) for v in values))
     return both.select(*keys, F.inline(F.filter(each, lambda x: x["_d"]))).drop("_d")
 

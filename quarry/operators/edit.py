@@ -28,9 +28,13 @@ def remove(stored: DataFrame, names: DataFrame, group: list[str]) -> DataFrame:
 
 
 def rename(stored: DataFrame, changes: DataFrame, group: list[str]) -> DataFrame:
-    """changes: (group, old, new), one row for each group at most; only the first row of that name is renamed."""
-    hit = stored.withColumn("_name", F.lower("name")).join(changes.withColumn("_name", F.lower("old")), [*group, "_name"])
-    firsts = hit.groupBy(*group).agg(F.min("ord").alias("ord"), F.min_by("new", "ord").alias("_new"))
+    """changes: (group, old, new), one row for each group at most; only the first row of that name is renamed.
+
+    A name that its group doesn't have is an error.
+    """
+    hit = changes.withColumn("_name", F.lower("old")).join(stored.select(*group, F.lower("name").alias("_name"), "ord"), [*group, "_name"], "left")
+    missing = F.raise_error(F.concat(F.lit("no stored name: "), F.first("old"))).cast(stored.schema["ord"].dataType)
+    firsts = hit.groupBy(*group).agg(F.coalesce(F.min("ord"), missing).alias("ord"), F.first("new").alias("_new"))
     return stored.join(firsts, [*group, "ord"], "left").withColumn("name", F.coalesce("_new", "name")).select(*stored.columns)
 
 

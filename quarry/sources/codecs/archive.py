@@ -18,6 +18,8 @@ ARCHIVE, FILE, COMMENT, PROTECT, SERVICE, END = 0x73, 0x74, 0x75, 0x78, 0x7A, 0x
 SPLIT_BEFORE, SPLIT_AFTER, PASSWORD, SOLID, LARGE, UNICODE, SALT, EXT_TIME, LONG_BLOCK = 0x1, 0x2, 0x4, 0x10, 0x100, 0x200, 0x400, 0x1000, 0x8000
 TYPES4 = {0x72: "Marker", 0x73: "Archive Header", 0x74: "File Header", 0x75: "Comment", 0x76: "Auth Info", 0x77: "Old Service", 0x78: "Protect", 0x79: "Sign", 0x7A: "Service Block", 0x7B: "End Archive"}
 TYPES5 = {1: "Main Archive Header", 2: "File Header", 3: "Service Header", 4: "Encryption Header", 5: "End of Archive"}
+#: Flag of an end block that holds the checksum of the data before it.
+DATA_CRC = 0x2
 S_HEADER, S_STORED, S_OSO, S_PADDING, S_VOLUME = 0x69, 0x6A, 0x6B, 0x6C, 0x71
 SKELETON_TYPES = {0x69: "Header", 0x6A: "StoredFile", 0x6B: "OSOHash", 0x6C: "RARPadding", 0x71: "RARFile"}
 SENTINELS = {t: t * 0x101 for t in SKELETON_TYPES}
@@ -342,9 +344,28 @@ def patch4(data: bytes, host: int | None = None, attributes: int | None = None,
         if b["type"] == FILE and mtimes and b["name"] in mtimes:
             struct.pack_into("<I", out, at + 20, mtimes[b["name"]])
         struct.pack_into("<H", out, at, zlib.crc32(out[at + 2 : at + size]) & 0xFFFF)
+    return patch_end(bytes(out))
+
+
+def patch_end(data: bytes) -> bytes:
+    """A format-4 volume whose end block, where it holds one, has the checksum of all bytes before it."""
+    out = bytearray(data)
+    for b in volume_blocks(data):
+        at, size = b["pos"], b["header_size"]
+        if b["format"] == 4 and b["type"] == END and b["flags"] & DATA_CRC and size >= 11:
+            struct.pack_into("<I", out, at + 7, zlib.crc32(out[:at]))
+            struct.pack_into("<H", out, at, zlib.crc32(out[at + 2 : at + size]) & 0xFFFF)
     return bytes(out)
 
 
+def first_name(data: bytes) -> str | None:
+    """Name of a volume's first file, with backslashes; None for what isn't a volume from its first byte, or has no file."""
+    if not data.startswith((MARK4, MARK5)):
+        return None
+    found = next((b["name"] for b in volume_blocks(data) if b["type"] == (FILE if b["format"] == 4 else 2) and b["name"]), None)
+    return found and found.replace("/", "\\")
+
+
 def patch_large(data: bytes, add: bool) -> bytes:
     """A format-4 volume with the 64-bit size fields of its file headers added or removed."""
     out, last, form = [], 0, marker(data)[0]

@@ -7,7 +7,9 @@ from collections.abc import Iterator
 
 SECTOR = 2048
 #: Extensions of media on discs.
-MEDIA = (".vob", ".m2ts", ".ts", ".mpg", ".mpeg", ".evo", ".mkv", ".avi", ".mp4", ".wmv", ".m2v")
+MEDIA = (".vob", ".m2ts", ".ts", ".mpg", ".mpeg", ".evo", ".m2v", ".avi", ".mkv", ".mp4", ".wmv", ".m4v", ".mov", ".flac", ".mp3")
+#: Bytes of a title set that are searched at once.
+BUFFER = 32 << 20
 
 
 def entries(data: bytes) -> Iterator[dict]:
@@ -47,11 +49,11 @@ def media_files(data: bytes) -> list[dict]:
 
 
 def title_sets(data: bytes) -> dict[str, list[dict]]:
-    """VOB files by the first six letters of their names, in order."""
+    """VOB files of titles (VTS_nn...) by the first six letters of their names, in order; menus belong to none."""
     out: dict[str, list[dict]] = {}
     for e in media_files(data):
         last = e["name"].rpartition("/")[2].upper()
-        if last.endswith(".VOB"):
+        if last.endswith(".VOB") and last.startswith("VTS_"):
             out.setdefault(last[:6], []).append(e)
     return {k: sorted(v, key=lambda e: e["name"].upper()) for k, v in sorted(out.items())}
 
@@ -59,8 +61,13 @@ def title_sets(data: bytes) -> dict[str, list[dict]]:
 def matching_set(data: bytes, signature: bytes) -> tuple[str, int] | None:
     """The title set that holds a signature, and its offset in the set's files joined; a match may cross files."""
     for title, files in title_sets(data).items():
-        joined = b"".join(data[e["offset"] : e["offset"] + e["size"]] for e in files)
-        at = joined.find(signature) if signature else -1
-        if at >= 0:
-            return title, at
+        held, before = b"", 0  # the end of what was searched, and the bytes of the set in front of it
+        for e in files if signature else ():
+            for start in range(e["offset"], e["offset"] + e["size"], BUFFER):
+                held += data[start : min(start + BUFFER, e["offset"] + e["size"])]
+                at = held.find(signature)
+                if at >= 0:
+                    return title, before + at
+                rest = len(held) - min(len(held), len(signature) - 1)
+                held, before = held[rest:], before + rest
     return None

@@ -478,3 +478,38 @@ def ebml_nodes(data: bytes, cap: int = 1000) -> Iterator[dict]:
             if i[0] in CONTAINERS:
                 todo.append((body, stop, n))
             n, ordinal, at = n + 1, ordinal + 1, stop
+
+
+def children(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(id, body) of the elements that a body holds, up to the first that doesn't fit."""
+    at = 0
+    while (i := vint(data, at, keep_marker=True)) and (s := vint(data, at + i[1])) and (body := at + i[1] + s[1]) + s[0] <= len(data):
+        yield i[0], data[body : body + s[0]]
+        at = body + s[0]
+
+
+#: Elements of a track's content encodings.
+ENCODINGS, ENCODING, COMPRESSION, ALGORITHM, SETTINGS = 0x6D80, 0x6240, 0x5034, 0x4254, 0x4255
+HEADER_STRIPPING = 3
+
+
+def stripped_header(track: bytes) -> bytes | None:
+    """The bytes that header stripping took off each frame of a track (the children of its entry); None without it."""
+    for kind, encodings in children(track):
+        for k, encoding in children(encodings) if kind == ENCODINGS else ():
+            for c, compression in children(encoding) if k == ENCODING else ():
+                parts = dict(children(compression)) if c == COMPRESSION else {}
+                if ALGORITHM in parts and int.from_bytes(parts[ALGORITHM], "big") == HEADER_STRIPPING and SETTINGS in parts:
+                    return parts[SETTINGS]
+    return None
+
+
+def restored_frame(header: bytes | None, frame: bytes) -> bytes:
+    return (header or b"") + frame
+
+
+def ebml_number(kind: str, body: bytes) -> int | float | None:
+    """Value of an uint, int or float element; None for a size that the kind doesn't have."""
+    if kind == "float":
+        return 0.0 if not body else struct.unpack(">f" if len(body) == 4 else ">d", body)[0] if len(body) in (4, 8) else None
+    return int.from_bytes(body, "big", signed=kind == "int") if len(body) <= 8 else None

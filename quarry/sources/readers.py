@@ -87,6 +87,11 @@ def header_fields(rows: DataFrame) -> DataFrame:
     return parsed(rows, lambda _, data: fields.fields(data), fields.FIELD)
 
 
+def first_names(rows: DataFrame) -> DataFrame:
+    """(path, name) of the first file in each volume; what is no volume, or has no file, gives no row."""
+    return parsed(rows, lambda _, data: ({"name": n} for n in (archive.first_name(data),) if n), "name string")
+
+
 def disc_files(rows: DataFrame) -> DataFrame:
     """(path, name, offset, size) of the media files in disc images."""
     return parsed(rows, lambda _, data: disc.media_files(data), "name string, offset long, size long")

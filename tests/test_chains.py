@@ -116,3 +116,74 @@ def test_signature_over_batches(spark, tmp_path):
         q = ingest.find_in_chunks(stream, b"SIGNAL").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination()
     assert [(r["track"], r["found"]) for r in spark.read.schema("track long, found long").parquet(str(tmp_path / "out")).collect()] == [(1, 2)]
+
+
+def test_names_of_first_files():
+    volume = archive.volume4([archive.file4("dir/a.bin", b"xyz")])
+    assert archive.first_name(volume) == "dir\\a.bin"
+    assert archive.first_name(archive.volume5([archive.file5("b.bin", b"")])) == "b.bin"
+    assert archive.first_name(b"stub" + volume) is None and archive.first_name(archive.volume4([])) is None and archive.first_name(b"") is None
+
+
+def test_end_blocks_hold_the_checksum_of_all_before():
+    import struct
+    import zlib
+
+    head = archive.MARK4 + archive.simple4(archive.ARCHIVE, 0, bytes(6)) + archive.file4("a", b"data")
+    volume = head + archive.simple4(archive.END, archive.DATA_CRC, struct.pack("<I", zlib.crc32(head)))
+    made = archive.patch4(volume, host=3)
+    end = len(head)
+    assert made[:end] != head and struct.unpack_from("<I", made, end + 7)[0] == zlib.crc32(made[:end])
+    assert all(b["crc_valid"] for b in archive.volume_blocks(made)) and archive.patch_end(volume) == volume
+    plain = archive.volume4([archive.file4("a", b"data")])
+    assert archive.patch_end(plain) == plain
+
+
+def test_header_stripping():
+    """Bytes written by hand: a track entry with a codec id and encodings of algorithm 3."""
+    from quarry.sources.codecs import media
+
+    stripped = bytes.fromhex("42 55 83 00 00 01".replace(" ", ""))
+    compression = bytes.fromhex("50 34".replace(" ", "")) + bytes([0x80 | 10]) + bytes.fromhex("42548103") + stripped
+    encoding = bytes.fromhex("6240") + bytes([0x80 | len(compression)]) + compression
+    track = bytes.fromhex("d78101") + bytes.fromhex("6d80") + bytes([0x80 | len(encoding)]) + encoding
+    assert media.stripped_header(track) == b"\0\0\1"
+    assert media.restored_frame(media.stripped_header(track), b"x") == b"\0\0\1x"
+    assert media.stripped_header(bytes.fromhex("d78101")) is None and media.stripped_header(track[:-1]) is None
+    assert media.stripped_header(track.replace(bytes.fromhex("42548103"), bytes.fromhex("42548100"))) is None
+
+
+def test_numbers_of_elements():
+    from quarry.sources.codecs import media
+
+    assert [media.ebml_number(k, bytes.fromhex(v)) for k, v in (("uint", ""), ("uint", "ff"), ("int", "ff"), ("int", "8000"), ("float", "3f800000"), ("float", "4000000000000000"), ("float", ""), ("float", "00"), ("uint", "00" * 9))] == [0, 255, -1, -32768, 1.0, 2.0, 0.0, None, None]
+
+
+def test_menus_are_in_no_title_set(monkeypatch):
+    """A signature over the border of two files and of two reads is found once, in its set."""
+    files = [("VIDEO_TS/VIDEO_TS.VOB", 0, 4), ("VIDEO_TS/VTS_01_1.VOB", 4, 5), ("VIDEO_TS/VTS_01_2.VOB", 9, 5), ("a.MOV", 14, 1)]
+    data = b"SIGNxxxxSIGNyyz"
+    monkeypatch.setattr(disc, "entries", lambda _: ({"name": n, "offset": o, "size": s} for n, o, s in files))
+    assert [e["name"] for e in disc.media_files(data)][0] == "a.MOV" and list(disc.title_sets(data)) == ["VTS_01"]
+    for size in (1, 2, 3, 100):
+        monkeypatch.setattr(disc, "BUFFER", size)
+        assert disc.matching_set(data, b"SIGN") == ("VTS_01", 4) and disc.matching_set(data, b"SIGNx") is None
+
+
+def test_packers_hashes_and_names_that_are_missing(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from quarry.functions import scalars
+    from quarry.operators import edit
+
+    df = spark.createDataFrame([("18446744073709551615", 0x100, False), ("4294967295", 0, False), ("4294967295", 0x100, False), ("4294967295", 0, True), ("5", 0, False), (None, 0, False)], "n string, flags long, is_dir boolean")
+    got = [r[0] for r in df.select(scalars.custom_packer(F.col("n").cast("decimal(20,0)"), F.col("flags"), F.col("is_dir"))).collect()]
+    assert got == ["all ones, large", "all ones, 32 bits", None, None, None, None]
+    sums = spark.createDataFrame([("ABCD",), (" abcd",), ("00",), (None,)], "d string")
+    assert [r[0] for r in sums.select(scalars.known_hash(F.col("d"), ["abcD "])).collect()] == [True, True, False, False]
+    stored = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "a")], "g int, ord int, name string")
+    change = lambda *rows: edit.rename(stored, spark.createDataFrame(list(rows), "g int, old string, new string"), ["g"])
+    assert sorted(tuple(r) for r in change((1, "B", "c")).collect()) == [(1, 0, "a"), (1, 1, "c"), (2, 0, "a")]
+    with pytest.raises(Exception, match="no stored name: zz"):
+        change((2, "zz", "c")).collect()
