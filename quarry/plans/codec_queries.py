@@ -85,8 +85,13 @@ def media_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.parsed(rows, parse, "kind string, n_payload long, crc_ok boolean").where("n_payload > 0")
 
 
-@R.add()
+@R.add("""WITH d AS (SELECT item_id, hex(encode(repeat(text, 1 + CAST(65536 // strlen(text) AS BIGINT)))) AS h FROM benchmark WHERE text <> ''),
+    b AS (SELECT item_id, len(h) // 2 AS size, regexp_extract_all(h[1:131072] || h[-131072:], '..') AS l FROM d),
+    w AS (SELECT item_id, size, unnest(l) AS x, unnest(range(0, 131072)) AS pos FROM b),
+    s AS (SELECT item_id, size, (size + sum(CAST(CAST('0x' || x AS BIGINT) AS HUGEINT) * CAST(pow(2, 8 * (pos % 8)) AS HUGEINT))) % 18446744073709551616 AS v FROM w GROUP BY item_id, size)
+    SELECT CAST(item_id AS VARCHAR) AS path, size, list_reduce(regexp_extract_all(printf('%08x', CAST(v // 4294967296 AS BIGINT)) || printf('%08x', CAST(v % 4294967296 AS BIGINT)), '..'), lambda a, x: x || a) AS hash FROM s""")
 def oso_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hash of sums over the first and last 64 KiB of each text that long.  No SQL: sums wrap at 2^64."""
-    rows = _encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), lambda data, _: data)
+    """Hash of sums, modulo 2^64, over the first and last 64 KiB of each passage, repeated until it is that long."""
+    longer = table(spark, sf_dir, "benchmark").where("text <> ''").select("item_id", F.expr("repeat(text, cast(1 + 65536 div octet_length(text) as int))").alias("text"))
+    rows = _encoded(longer, lambda data, _: data)
     return readers.oso_hashes(rows).select("path", "size", F.lower(F.hex("hash")).alias("hash"))
