@@ -129,6 +129,8 @@ def map_runs(df: DataFrame, keys: list[str], fn: Callable, schema: str) -> DataF
     For very many small groups, which would each cost a grouped map some
     milliseconds.  A group must fit into a task's memory; null keys aren't
     expected.  Integers arrive as numpy arrays, other columns as Arrow arrays.
+    Groups are dealt to as many tasks as a shuffle has partitions: few bytes
+    may take long, so that small partitions aren't joined.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -166,4 +168,5 @@ def map_runs(df: DataFrame, keys: list[str], fn: Callable, schema: str) -> DataF
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), type=f.type) for c, f in zip(zip(*made, strict=True), fields, strict=True)], schema=fields)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

@@ -38,13 +38,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import chunks, cut, discard, map_texts
+from quarry.llm.common import chunks, cut, discard, map_runs, map_texts
 from quarry.llm.components import local_components, named_components
 
 BANDS, ROWS = 28, 5
@@ -200,19 +199,19 @@ def tiled(open_rows: DataFrame, threshold: float) -> DataFrame:
     main = rows.groupBy("bucket").agg(F.first("m").alias("m"), F.min_by("comp", "id").alias("main"), F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d").select("bucket", "m", "main")
     rows = cut(salted(rows, main).withColumn("inside", F.col("comp") == F.col("main")))
     blocks = lambda own: F.ceil(F.greatest(F.sum(own.cast("long")) / TILE, F.sum(F.when(own, F.col("size")).otherwise(0)) / HELD)).cast("int")
-    counts = rows.groupBy("bucket").agg(F.first("m").alias("m"), blocks(~F.col("inside")).alias("outer"), blocks(F.col("inside")).alias("inner"))
+    small = (F.count("*") <= TILE) & (F.sum("size") <= HELD)  # one block, which meets itself
+    counts = rows.groupBy("bucket").agg(F.first("m").alias("m"), blocks(~F.col("inside")).alias("outer"), blocks(F.col("inside")).alias("inner"), small.alias("small"))
     key = F.xxhash64("id", F.lit(5))
-    own = F.when(F.col("inside"), F.col("outer") + F.pmod(key, F.col("inner"))).otherwise(F.pmod(key, F.col("outer"))).cast("int")
-    others = F.when(F.col("inside"), F.col("outer")).otherwise(F.col("outer") + F.col("inner"))
+    own = F.when(F.col("small"), 0).when(F.col("inside"), F.col("outer") + F.pmod(key, F.col("inner"))).otherwise(F.pmod(key, F.col("outer"))).cast("int")
+    others = F.when(F.col("small"), 1).when(F.col("inside"), F.col("outer")).otherwise(F.col("outer") + F.col("inner"))
     dealt = salted(rows, counts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
     dealt = dealt.select("bucket", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "signature")
     kind = open_rows.schema["id"].dataType.simpleString()
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.reset_index(drop=True)
-        own, comp = rows["own"].to_numpy(), rows["comp"].to_numpy()
-        i, j, band = rows["i"].iloc[0], rows["j"].iloc[0], int(rows["band"].iloc[0])
-        sign = np.frombuffer(b"".join(rows["signature"]), dtype="<u2").reshape(-1, HASHES)
+    def run(rows: dict) -> tuple | None:
+        own, comp = rows["own"], rows["comp"]
+        i, j, band = rows["i"][0], rows["j"][0], int(rows["band"][0])
+        sign = np.frombuffer(b"".join(rows["signature"].to_pylist()), dtype="<u2").reshape(-1, HASHES)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         p, q = np.nonzero(comp[left][:, None] != comp[right][None, :])
         p, q = left[p], right[q]
@@ -229,9 +228,10 @@ def tiled(open_rows: DataFrame, threshold: float) -> DataFrame:
                 hits += sign[p, k] == sign[q, k]
             keep = hits >= m
             p, q, hits, before = p[keep], q[keep], hits[keep], n
-        return rows.loc[np.unique(np.concatenate([p, q])), ["bucket", "i", "j", "own", "id", "comp"]]
+        some = np.unique(np.concatenate([p, q]))
+        return tuple(rows[c][some] for c in ("bucket", "i", "j", "own", "id", "comp")) if len(some) else None
 
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(run, f"bucket long, i int, j int, own int, id {kind}, comp {kind}")
+    return map_runs(dealt, ["bucket", "i", "j"], run, f"bucket long, i int, j int, own int, id {kind}, comp {kind}")
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -256,17 +256,17 @@ def tiled_links(members: DataFrame, sets: DataFrame, over: int, of: int) -> Data
     """Links (a, b) that join the members of each tile as all its exact links do: one for each member at most."""
     kind = members.schema["id"].dataType.simpleString()
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", ignore_index=True)
-        hashes = [np.frombuffer(v, dtype=np.uint64) for v in rows["hashes"]]
+    def run(rows: dict) -> tuple | None:
+        order = np.argsort(rows["id"], kind="stable")
+        held = rows["hashes"].to_pylist()
+        ids, hashes = rows["id"][order], [np.frombuffer(held[k], dtype=np.uint64) for k in order]
         size, shared = np.array([len(v) for v in hashes]), shared_counts(hashes)
         p, q = np.nonzero(of * shared >= over * (size[:, None] + size[None, :] - shared))
-        lab = local_components(len(rows), p, q)
-        ids = rows["id"].to_numpy()
+        lab = local_components(len(ids), p, q)
         some = lab != np.arange(len(ids))
-        return pd.DataFrame({"a": ids[lab[some]], "b": ids[some]})
+        return (ids[lab[some]], ids[some]) if some.any() else None
 
-    return members.join(sets, "id").select("bucket", "i", "j", "id", "hashes").groupBy("bucket", "i", "j").applyInPandas(run, f"a {kind}, b {kind}")
+    return map_runs(members.join(sets, "id").select("bucket", "i", "j", "id", "hashes"), ["bucket", "i", "j"], run, f"a {kind}, b {kind}")
 
 
 def labelled(docs: DataFrame, n: int, over: int, of: int, doc_id: str, text: str) -> DataFrame:
