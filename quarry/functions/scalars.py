@@ -277,3 +277,37 @@ def custom_packer(unpacked: Column, flags: Column, is_dir: Column) -> Column:
 def known_hash(digest: Column, known: list[str]) -> Column:
     """Whether a digest is among known ones, whatever the case and blanks around them; false for null."""
     return F.coalesce(F.lower(F.trim(digest)).isin([k.strip().lower() for k in known]), F.lit(False))
+
+
+def comment_text(data: Column) -> Column:
+    """Text of a comment without zeros at its end: UTF-8, or code page 437 where it isn't valid UTF-8."""
+    upper = bytes(range(128, 256))
+    text, page = data.cast("string"), F.translate(F.decode(data, "ISO-8859-1"), upper.decode("latin-1"), upper.decode("cp437"))
+    valid = F.is_valid_utf8(text) & ~F.contains(text, F.lit("\ufffd"))
+    return F.rtrim(F.when(valid, F.decode(data, "UTF-8")).otherwise(page), F.lit("\0"))
+
+
+def comment_arguments(number: Column, method: Column, dictionary: Column, comment: Column) -> Column:
+    """Arguments that pack a comment alone: -ma4 from 550 to 699, no created and accessed times from 320."""
+    none = F.array().cast("array<string>")
+    only = lambda cond, *values: F.when(cond, F.array(*map(F.lit, values))).otherwise(none)
+    first = F.array(F.lit("-cfg-"), F.lit("a"), F.lit("-r"), method, dictionary, F.concat(F.lit("-z"), comment))
+    return F.concat(first, only((number >= 550) & (number < RAR7_FROM), "-ma4"), only(number >= 320, "-tsc-", "-tsa-"))
+
+
+#: Fixed value: characters of a command line beyond which files are named in a list file.
+COMMAND_LENGTH = 25_000
+
+
+def input_operands(names: Column, used: Column, list_path: Column) -> Column:
+    """struct(tail, list_text) that names a run's input files in order, beside used other characters; null: the packer's own order.
+
+    tail is the files themselves, or @list_path with list_text to write there
+    where they are too long; too long and not ASCII, or no files: null.
+    """
+    tail = F.transform(names, lambda n: F.concat(F.lit("./"), F.replace(n, F.lit("\\"), F.lit("/"))))
+    fits = used + F.length(joined_arguments(tail)) <= COMMAND_LENGTH
+    ascii_only = F.forall(names, lambda n: n.rlike(r"^\p{ASCII}*$"))
+    no_text = F.lit(None).cast("string")
+    listed = F.struct(F.array(F.concat(F.lit("@"), list_path)).alias("tail"), F.array_join(names, "\n").alias("list_text"))
+    return F.when(F.size(names) == 0, None).when(fits, F.struct(tail.alias("tail"), no_text.alias("list_text"))).when(ascii_only, listed)

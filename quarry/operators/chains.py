@@ -102,3 +102,36 @@ def languages_diz(index_files: DataFrame) -> DataFrame:
     rows = index_files.where(F.lower("name").like("%.idx")).select("set_key", "name", language_lines(F.decode("data", "ISO-8859-1")).alias("lines")).where("lines <> ''")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("name", "lines"))), lambda x: x["lines"])
     return rows.groupBy("set_key").agg(F.concat(F.array_join(listed, "\n"), F.lit("\n")).alias("text"))
+
+
+def created_files(expected: DataFrame, present: DataFrame) -> DataFrame:
+    """(path, found): for each expected path the first that is present of itself, .part01.rar, .part1.rar and .rar."""
+    base = F.regexp_replace("path", r"\.[^./\\]*$", "")
+    tried = expected.select("path", F.posexplode(F.array("path", *(F.concat(base, F.lit(e)) for e in (".part01.rar", ".part1.rar", ".rar")))).alias("_rank", "_tried"))
+    there = present.select(F.col("path").alias("_tried")).distinct().withColumn("_hit", F.lit(True))
+    return tried.join(there, "_tried", "left").groupBy("path").agg(F.min_by("_tried", F.when(F.col("_hit"), F.col("_rank"))).alias("found"))
+
+
+def placement(plan: DataFrame, present: DataFrame, group: list[str]) -> DataFrame:
+    """plan (group, source, dest) with action: "stay" or "move"; "refused" for all of a group of which a target is taken.
+
+    A target is taken when a file is there already, other than the source
+    itself, or when two rows of the group want it.
+    """
+    there = present.select(F.lower("path").alias("_dest")).distinct().withColumn("_there", F.lit(True))
+    rows = plan.withColumns({"_dest": F.lower("dest"), "_stay": F.lower("source") == F.lower("dest")}).join(there, "_dest", "left")
+    wanted = rows.groupBy(*group, "_dest").agg(F.count("*").alias("_n"), F.bool_or(~F.col("_stay") & F.col("_there").isNotNull()).alias("_taken"))
+    bad = wanted.groupBy(*group).agg(F.bool_or((F.col("_n") > 1) | F.col("_taken")).alias("_bad"))
+    action = F.when(F.col("_bad"), "refused").when(F.col("_stay"), "stay").otherwise("move")
+    return rows.join(bad, group).withColumn("action", action).select(*plan.columns, "action")
+
+
+def sum_hashes(blocks: DataFrame, volumes: DataFrame, content: DataFrame) -> DataFrame:
+    """(set_key, name, size, hash) of stored entries of 64 KiB and more over their volumes; entries whose start is missing give none."""
+    from quarry.sources.readers import oso_hashes
+
+    whole = read_entries(blocks, volumes, content).where(F.col("data").isNotNull())
+    key = F.to_json(F.struct("set_key", "name")).alias("path")
+    hashed = oso_hashes(whole.select(key, F.col("data").alias("content")))
+    kinds = f"set_key {blocks.join(volumes, 'path').schema['set_key'].dataType.simpleString()}, name string"
+    return hashed.select(F.from_json("path", kinds).alias("_k"), "size", "hash").select("_k.*", "size", "hash")

@@ -7,6 +7,8 @@ null equal to "", and show as "N/A" when missing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,3 +94,54 @@ def tree_diff(left: DataFrame, right: DataFrame, values: list[str]) -> DataFrame
 def same_bytes(left: Column, right: Column) -> Column:
     """Whether two payloads are equal, by length and digest."""
     return (F.octet_length(left) == F.octet_length(right)) & (F.sha2(left, 256) == F.sha2(right, 256))
+
+
+#: Fields that follow from the other fields of a block.
+DERIVED_FIELDS = ("Header CRC", "CRC32")
+
+
+def _zipped(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the array fields of (left, right) fields by number, of blocks on both sides; the shorter side is filled with nulls."""
+
+    def block(df: DataFrame, name: str) -> DataFrame:
+        fields = F.array_sort(F.collect_list(F.struct("field_no", "name", "value")))
+        return df.groupBy(*keys).agg(fields.alias(name), F.max("data_size").alias(f"{name}_size"))
+
+    pairs = F.arrays_zip("_l", "_r")
+    return block(left, "_l").join(block(right, "_r"), keys).withColumn("fields", pairs)
+
+
+def field_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Fields of (keys, field_no, name, value, data_size) that differ by number, of blocks on both sides.
+
+    (keys, field_no, property, left_value, right_value): the property is the
+    left name, else the right one; a field that one side lacks is "N/A" there.
+    Derived fields are left out.  A block's fields are few, so that they are
+    collected as an array: one shuffle of each side, none of the pairs.
+    """
+    row = lambda p, at: F.struct(at.alias("field_no"), F.coalesce(p["_l"]["name"], p["_r"]["name"]).alias("property"), shown(p["_l"]["value"]).alias("left_value"), shown(p["_r"]["value"]).alias("right_value"))
+    rows = F.transform(F.col("fields"), row)
+    kept = F.filter(rows, lambda x: (x["left_value"] != x["right_value"]) & ~F.coalesce(x["property"].isin(*DERIVED_FIELDS), F.lit(False)))
+    return _zipped(left, right, keys).select(*keys, F.inline(kept))
+
+
+def quick_check(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, differs) of blocks on both sides: whether their data sizes or any values differ, derived fields too; null equals ""."""
+    text = lambda x: F.coalesce(x["value"], F.lit(""))
+    fields = F.exists(F.col("fields"), lambda p: text(p["_l"]) != text(p["_r"]))
+    return _zipped(left, right, keys).select(*keys, (~F.col("_l_size").eqNullSafe(F.col("_r_size")) | fields).alias("differs"))
+
+
+def compared(pairs: DataFrame, keys: list[str], by_kind: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Differences (keys, property, left_value, right_value) of pairs (keys, left_kind, right_kind, left_type, right_type, ...).
+
+    Pairs of one kind go to the function of that kind, which returns those
+    columns; a pair of unequal or unknown kinds gives one row, "File Type",
+    with the names of the types ("Unknown" for none).
+    """
+    same = F.coalesce((F.col("left_kind") == F.col("right_kind")) & F.col("left_kind").isin(*by_kind), F.lit(False))
+    name = lambda c: F.coalesce(F.col(c), F.lit("Unknown")).alias(c.replace("type", "value"))
+    out = pairs.where(~same).select(*keys, F.lit("File Type").alias("property"), name("left_type"), name("right_type"))
+    for kind, differences in by_kind.items():
+        out = out.unionByName(differences(pairs.where(same & (F.col("left_kind") == kind))).select(*out.columns))
+    return out

@@ -99,3 +99,52 @@ def running(df: DataFrame, group: list[str], order: list[str], size: str) -> Dat
     """df with before and upto: the group's sizes so far, without and with this row."""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("upto", F.sum(size).over(w)).withColumn("before", F.col("upto") - F.col(size))
+
+
+def reconciled(volumes: DataFrame, stored: DataFrame, group: list[str]) -> DataFrame:
+    """Volumes (group, ord, name, source) whose source is no stored file's (group, name, source) and no earlier volume's.
+
+    conflict tells that a stored file or an earlier volume has the same name,
+    whatever its case, from another source.  Grouped minima, no sorted groups.
+    """
+    source = F.lower("source").alias("_source")
+    firsts = volumes.groupBy(*group, source).agg(F.min_by(F.struct("ord", "name", "source"), "ord").alias("_v")).join(stored.select(*group, source).distinct(), [*group, "_source"], "left_anti")
+    kept = firsts.select(*group, "_v.*").withColumn("_name", F.lower("name"))
+    claims = kept.select(*group, "_name", F.col("ord").cast("long").alias("_at")).unionByName(stored.select(*group, F.lower("name").alias("_name"), F.lit(None).cast("long").alias("_at")))
+    owner = claims.groupBy(*group, "_name").agg(F.min("_at").alias("_first"), F.bool_or(F.col("_at").isNull()).alias("_stored"))
+    return kept.join(owner, [*group, "_name"]).withColumn("conflict", F.col("_stored") | (F.col("ord") > F.col("_first"))).select(*group, "ord", "name", "source", "conflict")
+
+
+def first_volume_gate(produced: DataFrame, known: DataFrame, digest: str, order: str, delete_all: bool = False, delete_repeated: bool = False) -> DataFrame:
+    """produced with matched (its digest is known, whatever the case), is_duplicate and keep (files that stay on disk)."""
+    wanted = known.select(F.lower(F.trim(digest)).alias("_key")).distinct().withColumn("_hit", F.lit(True))
+    seen = seen_before(produced, digest, order).withColumn("_key", F.lower(F.trim(digest)))
+    out = seen.join(wanted, "_key", "left").withColumn("matched", F.col("_hit").isNotNull()).drop("_key", "_hit")
+    gone = F.lit(delete_all) | (F.lit(delete_repeated) & F.col("is_duplicate"))
+    return out.withColumn("keep", F.col("matched") | ~gone)
+
+
+def full_set_gate(produced: DataFrame, expected: DataFrame, group: list[str], complete: bool = True) -> DataFrame:
+    """(group, passes, reason): whether all volumes are as expected; also where nothing is expected or complete is off."""
+    pairs = zip_verify(produced, expected, group).groupBy(*group).agg(F.min_by(F.struct("name", "expected", "actual"), F.when(~F.col("matches"), F.col("position"))).alias("_m"))
+    result = zip_result(produced, expected, group).join(pairs, group, "left")
+    why = F.when(F.col("count_mismatch"), F.format_string("produced %d volume(s), expected %d", "n_produced", "n_expected")).otherwise(
+        F.format_string("%s CRC mismatch (expected %s, got %s)", "_m.name", "_m.expected", "_m.actual")
+    )
+    passes = F.lit(not complete) | (F.col("n_expected") == 0) | F.col("all_match")
+    return result.select(*group, passes.alias("passes"), F.when(~passes, why).alias("reason"))
+
+
+def verified_tracks(tracks: DataFrame, found: DataFrame, group: list[str]) -> DataFrame:
+    """Tracks (group, track_no, signature_size) with match_offset from found (group, track_no, offset).
+
+    An offset of 0 counts as not found; tracks that aren't found keep 0.
+    """
+    at = found.groupBy(*group, "track_no").agg(F.min(F.nullif(F.col("offset"), F.lit(0))).alias("_at"))
+    return tracks.join(at, [*group, "track_no"], "left").withColumn("match_offset", F.coalesce(F.when(F.col("_at") > 0, F.col("_at")), F.lit(0).cast("long"))).drop("_at")
+
+
+def unlocated(verified: DataFrame, group: list[str]) -> DataFrame:
+    """(group, n_tracks, n_located, warning): a warning where fewer tracks are located than have a signature."""
+    located = F.count_if(F.col("match_offset") > 0)
+    return verified.groupBy(*group).agg(F.count("*").alias("n_tracks"), located.alias("n_located"), (located < F.count_if(F.col("signature_size") > 0)).alias("warning"))

@@ -67,3 +67,33 @@ def expanded_flags(df: DataFrame, flags: str, table: list[tuple[int, str]]) -> D
     """A row for each flag of a table of (mask, name), with is_set."""
     each = F.array(*(F.struct(F.lit(m).alias("mask"), F.lit(n).alias("flag"), (F.col(flags).bitwiseAND(m) != 0).alias("is_set")) for m, n in table))
     return df.select("*", F.inline(each))
+
+
+def resolve_times(pieces: DataFrame, group: list[str], times: list[str]) -> DataFrame:
+    """Times of entries (group, ord, crc, split_after, times), which follow the CRC that resolve_split picks.
+
+    Each time comes from the picked piece; null there, from the first piece
+    with a CRC; null there too, from the first piece that has it.
+    """
+    has = F.col("crc").isNotNull()
+    picked, first = F.when(has, F.struct(F.coalesce("split_after", F.lit(False)), F.col("ord"))), F.when(has, F.col("ord"))
+    one = lambda t: F.coalesce(F.min_by(t, picked), F.min_by(t, first), F.min_by(t, F.when(F.col(t).isNotNull(), F.col("ord"))))
+    return pieces.groupBy(*group).agg(*(one(t).alias(t) for t in times))
+
+
+def set_facts(files: DataFrame, facts: DataFrame, name: str = "name") -> DataFrame:
+    """Files of sets with the facts (one row for each name) of their names, whatever the case; null where there are none."""
+    known = facts.withColumn("_n", F.lower(name)).drop(name)
+    return files.withColumn("_n", F.lower(name)).join(known, "_n", "left").drop("_n")
+
+
+def as_map(df: DataFrame, group: list[str], key: str, value: str, order: str) -> DataFrame:
+    """(group, entries): a map of each group's keys to their first value; a group is a file's or set's, so that its map is small."""
+    firsts = df.where(F.col(key).isNotNull()).groupBy(*group, key).agg(F.min_by(value, order).alias(value))
+    return firsts.groupBy(*group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))).alias("entries"))
+
+
+def all_or_none(rows: DataFrame, group: list[str], done: Column) -> DataFrame:
+    """Rows of the groups of which every row is done (null is not); groups with any other row go as a whole."""
+    whole = rows.groupBy(*group).agg(F.bool_and(F.coalesce(done, F.lit(False))).alias("_all")).where("_all").select(*group)
+    return rows.join(whole, group, "left_semi")

@@ -11,12 +11,15 @@ Fixed values: magics, record names, identifiers and flags of the containers.
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 import struct
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+
 from quarry.sources.codecs.bits import id_bytes, lace_sizes, sync_safe, to_vint, u32, u64, vint
 
 SIGNATURE, STEPS, WINDOW, RADIUS, BIG = 256, 40, 64, 64 * 1024, 1 << 31
@@ -513,3 +516,28 @@ def ebml_number(kind: str, body: bytes) -> int | float | None:
     if kind == "float":
         return 0.0 if not body else struct.unpack(">f" if len(body) == 4 else ">d", body)[0] if len(body) in (4, 8) else None
     return int.from_bytes(body, "big", signed=kind == "int") if len(body) <= 8 else None
+
+
+#: Bytes beyond which an element's value isn't read, and bytes shown of a binary one.
+LEAF_BYTES, SHOWN_BYTES = 1 << 20, 16
+
+
+def ebml_text(kind: str, body: bytes) -> str:
+    """Shown value of an element of kind uint, int, float, date, text or binary; sizes that a kind doesn't have show as binary."""
+    if not body:
+        return {"uint": "0", "int": "0", "binary": "0 bytes"}.get(kind, "")
+    if len(body) > LEAF_BYTES:
+        return f"{len(body):,} bytes"
+    if kind == "text":
+        return body.decode("utf-8", "replace").rstrip("\0")
+    if kind == "date" and len(body) <= 8:
+        nanos = int.from_bytes(body, "big", signed=True)
+        try:
+            at = dt.datetime(2001, 1, 1) + dt.timedelta(seconds=nanos // 10**9)
+        except OverflowError:
+            return f"{nanos} ns (out of range)"
+        return at.strftime("%Y-%m-%d %H:%M:%S UTC")
+    if kind in ("uint", "int", "float") and (value := ebml_number(kind, body)) is not None:
+        shortest = str(np.float32(value) if len(body) == 4 and kind == "float" else value)
+        return shortest.removesuffix(".0").upper() if np.isfinite(value) else shortest
+    return f"{len(body)} bytes: {body[:SHOWN_BYTES].hex(' ').upper()}" + (" …" if len(body) > SHOWN_BYTES else "")

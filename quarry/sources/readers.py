@@ -123,3 +123,62 @@ def verify(skeleton_rows: DataFrame) -> DataFrame:
         ("Warning", "stored name", F.coalesce((F.col("type") == archive.S_STORED) & F.col("name").rlike(r"^([/\\]|[A-Za-z]:)|(^|[/\\])\.\.?([/\\]|$)"), F.lit(False))),
     ]
     return issues(skeleton_rows, rules, ["path", "pos"])
+
+
+def sections(skeleton_rows: DataFrame) -> DataFrame:
+    """(path, position, name) of the volumes that skeletons hold, in their order; none of a skeleton that breaks off."""
+    from quarry.operators.diff import positioned
+
+    broken = skeleton_rows.where(F.col("error").isNotNull()).select("path").distinct()
+    rows = skeleton_rows.where((F.col("format") == 0) & (F.col("type") == archive.S_VOLUME)).join(broken, "path", "left_anti")
+    return positioned(rows, ["path"], ["block_no"]).select("path", "position", "name")
+
+
+def preflight(skeleton_rows: DataFrame, selected: DataFrame | None = None) -> DataFrame:
+    """(path, status, reason): whether skeletons, read with broken=True, can be assembled.
+
+    Error: it breaks off, or has no header block before its volumes.  Else the
+    first block that stops it: an end block that claims data (Error), or one
+    of a selected volume (path, name; null: all of them) whose data a skeleton
+    doesn't keep (Declined).  Else Ok.
+    """
+    rows = skeleton_rows
+    if selected is not None:
+        wanted = selected.select("path", F.col("name").alias("volume"), F.lit(True).alias("_wanted")).distinct()
+        rows = rows.join(wanted, ["path", "volume"], "left")
+    own = F.col("volume").isNotNull() if selected is None else F.col("_wanted").isNotNull()
+    kind, flags = F.col("type"), F.col("flags")
+    old, new = F.col("format") == 4, F.col("format") == 5
+    stripped = F.col("add_size") > 0
+    service = (old & (kind == archive.SERVICE)) | (new & (kind == 3))
+    other = ~service & ~((old & kind.isin(archive.ARCHIVE, archive.FILE, archive.END, 0x72)) | (new & kind.isin(1, 2, 5)))
+    end = old & (kind == archive.END) & (flags.bitwiseAND(archive.LONG_BLOCK) != 0)
+    decline = F.when(
+        own,
+        F.when(old & (kind == archive.ARCHIVE) & (flags.bitwiseAND(0x40) != 0), "recovery record")
+        .when(old & (kind == archive.PROTECT), "old recovery block")
+        .when(service & (F.col("name") == "RR"), "recovery record")
+        .when(service & (F.coalesce("name", F.lit("")) != "CMT") & stripped, F.concat(F.lit("stripped service data: "), F.coalesce("name", F.lit(""))))
+        .when(other & stripped, F.concat(F.lit("stripped block data: "), F.col("type_name"))),
+    )
+    header = F.when((F.col("format") == 0) & (kind == archive.S_HEADER), F.col("block_no"))
+    content = F.when((F.col("format") > 0) | (kind == archive.S_VOLUME), F.col("block_no"))
+    stop = F.when(end, F.struct(F.lit("Error").alias("status"), F.lit("end block claims data").alias("reason"))).when(decline.isNotNull(), F.struct(F.lit("Declined").alias("status"), decline.alias("reason")))
+    first = lambda why: F.min_by(why, F.when(why.isNotNull(), F.col("block_no")))
+    facts = rows.groupBy("path").agg(first(F.col("error")).alias("_error"), first(stop).alias("_stop"), F.min(header).alias("_header"), F.min(content).alias("_content"))
+    missing = F.when(F.col("_header").isNull() | (F.col("_content") < F.col("_header")), "no header block")
+    wrong = F.coalesce("_error", missing)
+    status = F.when(wrong.isNotNull(), "Error").otherwise(F.coalesce(F.col("_stop.status"), F.lit("Ok")))
+    return facts.select("path", status.alias("status"), F.coalesce(wrong, F.col("_stop.reason")).alias("reason"))
+
+
+def element_values(rows: DataFrame, kinds: dict[int, str], cap: int = 1000) -> DataFrame:
+    """(path, node_id, element_id, value): shown values of the EBML elements of which kinds has the kind."""
+
+    def parse(_: str, data: bytes) -> Iterator[dict]:
+        for e in media.ebml_nodes(data, cap):
+            if e["element_id"] in kinds:
+                at = e["pos"] + e["header_size"]
+                yield {"node_id": e["node_id"], "element_id": e["element_id"], "value": media.ebml_text(kinds[e["element_id"]], data[at : at + e["data_size"]])}
+
+    return parsed(rows, parse, "node_id long, element_id long, value string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -110,3 +110,35 @@ class FileSink(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(FileSink)
+
+
+def reject_inputs(output: str, inputs: Iterable[str], kind: str = "an input") -> None:
+    """An error when an output path is one of the inputs, links followed, whatever the case."""
+    key = os.path.realpath(output).lower()
+    for path in inputs:
+        if os.path.realpath(path).lower() == key:
+            raise ValueError(f"output is {kind}: {path}")
+
+
+def place(moves: list[tuple[str, str]]) -> list[str]:
+    """Move one set's files (source, target); returns the targets, or nothing at all when any can't be moved.
+
+    Targets that are taken by another file end it before the first move; a
+    failure later undoes the moves made so far.  A source that is its own
+    target stays.
+    """
+    same = lambda a, b: os.path.realpath(a) == os.path.realpath(b)
+    if any(os.path.exists(t) and not same(s, t) for s, t in moves) or len({os.path.realpath(t) for _, t in moves}) < len(moves):
+        return []
+    made: list[tuple[str, str]] = []
+    try:
+        for source, target in moves:
+            if not same(source, target):
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                os.rename(source, target)
+                made.append((source, target))
+    except OSError:
+        for source, target in reversed(made):
+            os.rename(target, source)
+        return []
+    return [t for _, t in moves]
