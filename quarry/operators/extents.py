@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Assembled files leave a task in batches of about so many bytes, or rows.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 1024
+
 
 def lookup(positions: DataFrame, extents: DataFrame, group: list[str], size: int) -> DataFrame:
     """positions (group, pos) with the extent (group, start, stop, ...) that holds them: start <= pos < stop.
@@ -29,12 +34,33 @@ def clipped(chunks: DataFrame, limits: DataFrame, group: list[str], order: list[
 def assemble(pieces: DataFrame, group: str, order: str = "ord", data: str = "data") -> DataFrame:
     """(group, data): the pieces of each group in order, as one binary.
 
-    A file's bytes must fit into a task; files are dealt over all tasks.
+    Pieces are dealt by group and sorted on disk where need be; a task holds
+    one file's bytes at a time, and no more than it has collected for output.
     """
     kind = pieces.schema[group].dataType.simpleString()
+    rows = pieces.select(group, order, data).repartition(group).sortWithinPartitions(group, order)
 
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by(order)
-        return pa.table({group: rows.column(group)[:1], "data": pa.array([b"".join(x for x in rows.column(data).to_pylist() if x is not None)], pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, keys, done, size = None, None, [], [], 0
+        type_ = None
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(keys, type_), pa.array(done, pa.binary())], names=[group, "data"])
+        for batch in batches:
+            type_ = batch.schema.field(0).type
+            for k, piece in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                if parts is None or k != key:
+                    if parts is not None:
+                        keys.append(key)
+                        done.append(b"".join(parts))
+                        size += len(done[-1])
+                    key, parts = k, []
+                    if size >= BATCH_BYTES or len(keys) >= BATCH_ROWS:
+                        yield made()
+                        keys, done, size = [], [], 0
+                if piece.is_valid:
+                    parts.append(piece.as_py())
+        if parts is not None:
+            keys.append(key)
+            done.append(b"".join(parts))
+            yield made()
 
-    return pieces.select(group, order, data).groupBy(group).applyInArrow(run, f"{group} {kind}, data binary")
+    return rows.mapInArrow(run, f"{group} {kind}, data binary")

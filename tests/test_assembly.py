@@ -115,3 +115,18 @@ def test_place_and_guard(tmp_path):
     with pytest.raises(ValueError, match="output is a volume"):
         sinks.reject_inputs(str(a), [str(c)], "a volume")
     sinks.reject_inputs(str(a), [str(sub / "b")])
+
+
+def test_assemble_over_batches(spark):
+    """Null keys and pieces, groups over several batches, groups without bytes, no rows."""
+    from quarry.operators import extents
+
+    rows = [(g, o, bytearray(f"{g}.{o}|".encode())) for g in ("a", "b") for o in range(50)] + [(None, 1, bytearray(b"y")), (None, 0, bytearray(b"x")), ("c", 0, None)]
+    df = spark.createDataFrame(rows, "g string, ord int, data binary")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["g"]: bytes(r["data"]) for r in extents.assemble(df, "g").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {g: "".join(f"{g}.{o}|" for o in range(50)).encode() for g in ("a", "b")} | {None: b"xy", "c": b""}
+    assert extents.assemble(df.where("false"), "g").collect() == []
