@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,16 +14,9 @@ from quarry.sources.codecs import archive, media
 R = Registry()
 
 
-def _encoded(df: DataFrame, make) -> DataFrame:
-    """(path, content): df's two columns, the key as text and make(text's bytes, key)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [str(k) for k in batch.column(0).to_pylist()]
-            made = [make((t.as_py() or "").encode(), k) for t, k in zip(batch.column(1), keys, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(made, pa.binary())], names=["path", "content"])
-
-    return df.mapInArrow(run, "path string, content binary")
+def _content(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(path, content): the key as text and the text's bytes."""
+    return df.select(F.col(key).cast("string").alias("path"), F.col(text).cast("binary").alias("content"))
 
 
 def _volume(data: bytes, key: str) -> bytes:
@@ -35,8 +27,8 @@ def _volume(data: bytes, key: str) -> bytes:
 @R.add("SELECT CAST(doc_id AS VARCHAR) AS path, doc_id || '.txt' AS name, strlen(text) AS size, CASE WHEN strlen(text) % 2 = 1 THEN 5 ELSE 4 END AS format, true AS crc_valid FROM documents")
 def archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text packed into a volume, and the volume's file blocks read back."""
-    rows = _encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), _volume)
-    found = readers.blocks(rows).where((F.col("type") == archive.FILE) | ((F.col("format") == 5) & (F.col("type") == 2)))
+    rows = _content(table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = readers.blocks(rows, _volume).where((F.col("type") == archive.FILE) | ((F.col("format") == 5) & (F.col("type") == 2)))
     return found.select("path", "name", F.col("add_size").alias("size"), "format", "crc_valid")
 
 
@@ -54,8 +46,8 @@ def volume_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
         if made == data:
             yield {"sha1": hashlib.sha1(cut(made, file(made))).hexdigest()}
 
-    rows = _encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), _volume)
-    return readers.parsed(rows, parse, "sha1 string")
+    rows = _content(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return readers.parsed(rows, parse, "sha1 string", _volume)
 
 
 @R.add("SELECT CAST(page_id AS VARCHAR) AS path, CASE page_id % 3 WHEN 0 THEN 'AVI' WHEN 1 THEN 'MKV' ELSE 'MP4' END AS kind, strlen(html) AS n_payload, true AS crc_ok FROM pages WHERE strlen(html) > 0")
@@ -81,8 +73,8 @@ def media_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = media.rebuild(media.make_skeleton(data, kind, "s"), data)
         yield {"kind": kind, "n_payload": sum(t["data_length"] for t in media.profile(data, kind)["tracks"]), "crc_ok": made["crc_ok"] and made["data"] == data}
 
-    rows = _encoded(table(spark, sf_dir, "pages").select("page_id", "html"), sample)
-    return readers.parsed(rows, parse, "kind string, n_payload long, crc_ok boolean").where("n_payload > 0")
+    rows = _content(table(spark, sf_dir, "pages"), "page_id", "html")
+    return readers.parsed(rows, parse, "kind string, n_payload long, crc_ok boolean", sample).where("n_payload > 0")
 
 
 @R.add("""WITH d AS (SELECT item_id, hex(encode(repeat(text, 1 + CAST(65536 // strlen(text) AS BIGINT)))) AS h FROM benchmark WHERE text <> ''),
@@ -93,5 +85,4 @@ def media_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oso_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash of sums, modulo 2^64, over the first and last 64 KiB of each passage, repeated until it is that long."""
     longer = table(spark, sf_dir, "benchmark").where("text <> ''").select("item_id", F.expr("repeat(text, cast(1 + 65536 div octet_length(text) as int))").alias("text"))
-    rows = _encoded(longer, lambda data, _: data)
-    return readers.oso_hashes(rows).select("path", "size", F.lower(F.hex("hash")).alias("hash"))
+    return readers.oso_hashes(_content(longer, "item_id", "text")).select("path", "size", F.lower(F.hex("hash")).alias("hash"))

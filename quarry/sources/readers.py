@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -10,27 +11,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from quarry.sources.batches import ROWS, pairs
 from quarry.sources.codecs import archive, disc, fields, media
 from quarry.sources.manifests import files
 
 
-def parsed(rows: DataFrame, parse: Callable[[str, bytes], Iterable[dict]], schema: str) -> DataFrame:
-    """The rows that parse gives for each (path, content), with path in front."""
+def parsed(rows: DataFrame, parse: Callable[[str, bytes], Iterable[dict]], schema: str, make: Callable[[bytes, str], bytes] | None = None) -> DataFrame:
+    """The rows that parse gives for each (path, content), with path in front; few files are held at once.
+
+    make(content, path) gives the bytes that are parsed in place of the content:
+    files made from rows need no Python pass, and no worker, of their own.
+    """
     fields = to_arrow_schema(StructType.fromDDL(f"path string, {schema}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                found = [{"path": path.as_py()} | r for r in parse(path.as_py(), content.as_py() or b"")]
-                if found:
-                    yield pa.RecordBatch.from_pylist(found, schema=fields)
+        for part in pairs(batches):
+            found = ({"path": path} | r for path, content in part for r in parse(path, make(content or b"", path) if make else content or b""))
+            for some in itertools.batched(found, ROWS):
+                yield pa.RecordBatch.from_pylist(list(some), schema=fields)
 
     return rows.select("path", "content").mapInArrow(run, f"path string, {schema}")
 
 
-def blocks(rows: DataFrame) -> DataFrame:
-    """Blocks of archive volumes of either format."""
-    return parsed(rows, lambda _, data: archive.volume_blocks(data), archive.BLOCK)
+def blocks(rows: DataFrame, make: Callable[[bytes, str], bytes] | None = None) -> DataFrame:
+    """Blocks of archive volumes of either format; make as of parsed."""
+    return parsed(rows, lambda _, data: archive.volume_blocks(data), archive.BLOCK, make)
 
 
 def skeletons(rows: DataFrame, broken: bool = False) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from quarry.sources.batches import pairs
 from quarry.sources.codecs import archive, media
 
 
@@ -30,10 +31,10 @@ def media_skeletons_of(samples: DataFrame) -> DataFrame:
     """(name, data): the skeleton of each (path, content) sample; unknown containers give none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in pairs(batches):
             names, made = [], []
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = data.as_py() or b""
+            for path, data in part:
+                raw = data or b""
                 if kind := media.sniff(raw, path):
                     names.append(path.rsplit("/", 1)[-1])
                     made.append(media.make_skeleton(raw, kind, path))
@@ -46,9 +47,9 @@ def patched(volumes: DataFrame, host: int | None = None, attributes: int | None
     """(path, content): format-4 volumes with their file headers patched."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [archive.patch4(x.as_py(), host, attributes) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["path", "content"])
+        for part in pairs(batches):
+            made = [archive.patch4(data, host, attributes) for _, data in part]
+            yield pa.RecordBatch.from_arrays([pa.array([path for path, _ in part], pa.string()), pa.array(made, pa.binary())], names=["path", "content"])
 
     return volumes.select("path", "content").mapInArrow(run, "path string, content binary")
 

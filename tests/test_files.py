@@ -1,12 +1,17 @@
 """Sources and sinks over real folders; operators that registered queries don't reach."""
 
+import os
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import edit, extents, match
-from quarry.sources import manifests, readers, sinks
+from quarry.plans import catalog
+from quarry.sources import batches, manifests, readers, sinks
 from quarry.sources.codecs import archive
 from tests.test_codecs import samples
+from tests.test_queries import SF
 
 
 @pytest.fixture(scope="module")
@@ -108,3 +113,41 @@ def test_move_out_of_range_changes_nothing(spark):
     stored = spark.createDataFrame([("s", 0, "a"), ("s", 1, "b")], "source string, ord long, name string")
     out = edit.move(stored, spark.createDataFrame([("s", "a", 5)], "source string, name string, by long"), ["source"])
     assert sorted((r["ord"], r["name"]) for r in out.collect()) == [(0, "a"), (1, "b")]
+
+
+class Caught:
+    """Stands for a DataFrame; mapInArrow gives the mapped function."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        return run
+
+
+def test_mapped_functions_hold_few_files():
+    batch = pa.RecordBatch.from_arrays([pa.array(map(str, range(2000))), pa.array([b"x"] * 2000, pa.binary())], names=["path", "content"])
+    assert next(sinks.patched(Caught())(iter([batch]))).num_rows <= batches.ROWS
+    made = []
+    run = readers.parsed(Caught(), lambda path, data: [{"n": len(data)}] * 2, "n long", lambda data, path: made.append(path) or data * 3)
+    out = run(iter([batch]))
+    assert next(out).num_rows <= batches.ROWS and len(made) <= batches.ROWS
+    assert sum((b.num_rows for b in out), batches.ROWS) == 4000 and made == [str(i) for i in range(2000)]
+
+
+def test_pairs_hold_few_bytes(monkeypatch):
+    monkeypatch.setattr(batches, "BYTES", 10)
+    content = [b"12345", b"12345", b"1", None, b"123456789012", b"", b"x"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(content, pa.binary())], names=["path", "content"])
+    got = list(batches.pairs(iter([batch.slice(0, 0), batch])))
+    assert [[k for k, _ in p] for p in got] == [[0, 1], [2, 3], [4], [5, 6]]
+    assert [v for p in got for _, v in p] == content
+
+
+@pytest.mark.parametrize("name", ["archive_scan", "volume_rebuild", "media_rebuild", "oso_hash"])
+def test_one_python_pass(spark, name):
+    """Files made from rows and parsed at once take one worker in a task."""
+    if not os.path.isdir(SF):
+        pytest.skip("no driver tables")
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
