@@ -132,16 +132,24 @@ def quick_check(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     return _zipped(left, right, keys).select(*keys, (~F.col("_l_size").eqNullSafe(F.col("_r_size")) | fields).alias("differs"))
 
 
-def compared(pairs: DataFrame, keys: list[str], by_kind: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+def compared(pairs: DataFrame, keys: list[str], by_kind: dict[str, Column | Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """Differences (keys, property, left_value, right_value) of pairs (keys, left_kind, right_kind, left_type, right_type, ...).
 
-    Pairs of one kind go to the function of that kind, which returns those
-    columns; a pair of unequal or unknown kinds gives one row, "File Type",
-    with the names of the types ("Unknown" for none).
+    Pairs of one kind have the differences of that kind: an array column of
+    (property, left_value, right_value), null or empty for none, or a function
+    of the pairs that returns keys and those columns.  A pair of unequal or
+    unknown kinds gives one row, "File Type", with the names of the types
+    ("Unknown" for none).  Columns are found in one pass over the pairs; each
+    function reads them once more.
     """
     same = F.coalesce((F.col("left_kind") == F.col("right_kind")) & F.col("left_kind").isin(*by_kind), F.lit(False))
     name = lambda c: F.coalesce(F.col(c), F.lit("Unknown")).alias(c.replace("type", "value"))
-    out = pairs.where(~same).select(*keys, F.lit("File Type").alias("property"), name("left_type"), name("right_type"))
+    found = F.when(~same, F.array(F.struct(F.lit("File Type").alias("property"), name("left_type"), name("right_type"))))
     for kind, differences in by_kind.items():
-        out = out.unionByName(differences(pairs.where(same & (F.col("left_kind") == kind))).select(*out.columns))
+        if isinstance(differences, Column):
+            found = found.when(F.col("left_kind") == kind, differences)
+    out = pairs.select(*keys, F.inline(found))
+    for kind, differences in by_kind.items():
+        if not isinstance(differences, Column):
+            out = out.unionByName(differences(pairs.where(same & (F.col("left_kind") == kind))).select(*out.columns))
     return out

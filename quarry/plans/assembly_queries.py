@@ -48,13 +48,14 @@ UNION ALL SELECT o_orderkey, 'Parity', CAST(lv % 2 AS VARCHAR), CAST(rv % 2 AS V
 def compare_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders against the ones before them, by status as their kind; P has no comparison of its own."""
     orders = table(spark, sf_dir, "orders")
-    side = lambda s, shift: orders.select((F.col("o_orderkey") + shift).alias("o_orderkey"), F.col("o_orderstatus").alias(f"{s}_kind"), F.concat("o_orderstatus", F.lit(" file")).alias(f"{s}_type"), F.col("o_custkey").alias(f"{s}_customer"))
+    side = lambda s, shift: orders.select((F.col("o_orderkey") + shift).alias("o_orderkey"), F.col("o_orderstatus").alias(f"{s}_kind"), F.col("o_custkey").alias(f"{s}_customer"))
+    typed = lambda s: F.concat(f"{s}_kind", F.lit(" file")).alias(f"{s}_type")
 
-    def by(name: str, value) -> object:
+    def by(name: str, value) -> Column:
         left, right = value(F.col("left_customer")), value(F.col("right_customer"))
-        return lambda df: df.where(left != right).select("o_orderkey", F.lit(name).alias("property"), left.cast("string").alias("left_value"), right.cast("string").alias("right_value"))
+        return F.when(left != right, F.array(F.struct(F.lit(name).alias("property"), left.cast("string").alias("left_value"), right.cast("string").alias("right_value"))))
 
-    pairs = side("left", 0).join(side("right", 1), "o_orderkey")
+    pairs = side("left", 0).join(side("right", 1), "o_orderkey").select("*", typed("left"), typed("right"))
     return diff.compared(pairs, ["o_orderkey"], {"F": by("Customer", lambda c: c), "O": by("Parity", lambda c: c % 2)})
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import scalars
 from quarry.operators import chains, diff, match, resolve
+from quarry.plans import catalog
 from quarry.sources import readers, sinks
 from quarry.sources.codecs import archive, media
 
@@ -103,6 +104,35 @@ def test_odd_fields_and_maps(spark):
     assert resolve.as_map(rows, ["g"], "k", "v", "o").collect()[0]["entries"] == {"a": 1, "b": 2}
 
 
+
+def test_kinds_compared_by_columns(spark):
+    """Columns and functions give the same rows; columns read the pairs once."""
+    ddl = "k int, left_kind string, right_kind string, left_type string, right_type string, l int, r int"
+    rows = [(1, "a", "a", "A", "A", 1, 2), (2, "a", "a", "A", "A", 1, 1), (3, "a", "a", "A", "A", None, 1), (4, "b", "b", "B", "B", 5, 6), (5, "a", "b", "A", "B", 1, 2), (6, "c", "c", "C", "C", 1, 1), (7, None, None, None, None, 1, 2)]
+    pairs = spark.createDataFrame(rows, ddl)
+    text = [F.col(c).cast("string").alias(f"{side}_value") for c, side in (("l", "left"), ("r", "right"))]
+    row = lambda p: F.when(F.col("l") != F.col("r"), F.array(F.struct(F.lit(p).alias("property"), *text)))
+    fn = lambda p: lambda df: df.where("l <> r").select("k", F.lit(p).alias("property"), *text)
+    found = lambda by: sorted(map(tuple, diff.compared(pairs, ["k"], by).collect()))
+    want = [(1, "X", "1", "2"), (4, "Y", "5", "6"), (5, "File Type", "A", "B"), (6, "File Type", "C", "C"), (7, "File Type", "Unknown", "Unknown")]
+    assert found({"a": row("X"), "b": row("Y")}) == want
+    assert found({"a": row("X"), "b": fn("Y")}) == want
+    assert found({"a": fn("X"), "b": fn("Y")}) == want
+
+
+def test_compare_by_kind_joins_once(spark, tmp_path):
+    """Over orders of all statuses, with null customers; each pair is joined once."""
+    rows = [(k, None if k % 5 == 0 else k * k % 7, "FOP"[k // 3 % 3]) for k in range(60)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    out = catalog.QUERIES["compare_by_kind"](spark, str(tmp_path))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert sorted(map(tuple, out.collect())) == sorted(con.sql(catalog.ORACLES["compare_by_kind"]).fetchall())
+
+
 def test_place_and_guard(tmp_path):
     a, b, c = (tmp_path / n for n in "abc")
     a.write_text("1"), b.write_text("2")
